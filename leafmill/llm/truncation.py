@@ -18,6 +18,8 @@ from leafmill.session import checkpoint
 RUN = 3
 #: A length is a channel's limit if so many values have it, and so many times the mean of lengths nearby more.
 LIMIT_LEAST, LIMIT_TIMES, NEARBY = 5, 6, 12
+#: Characters at the end in which end marks, break marks and the last words are looked for.
+TAIL = 200
 #: Share of the book's usual target-to-source length below which a value is short.
 SHORT, SHORTER = 0.97, 0.85
 
@@ -27,12 +29,17 @@ WRAP = r"(?U)(?:[\s*_]|\[\[fn:[^\]]*\]\])+$"
 ENDS = r"[.!?؟。！？।…:؛;][»”“\"'’)\]』」]*$"
 
 
-def _ended(text: Column) -> Column:
-    return F.regexp_replace(text, WRAP, "").rlike(ENDS)
+def _tail(text: Column) -> Column:
+    """The last ``TAIL`` characters before closing white space and emphasis, where ends and breaks show."""
+    return F.regexp_replace(F.right(F.rtrim(text, F.lit(" \t\n\r\u00a0*_")), F.lit(TAIL)), WRAP, "")
 
 
-def _broken(text: Column) -> Column:
-    return F.regexp_replace(text, WRAP, "").rlike(BREAK)
+def _ended(tail: Column) -> Column:
+    return tail.rlike(ENDS)
+
+
+def _broken(tail: Column) -> Column:
+    return tail.rlike(BREAK)
 
 
 def _words_only(text: Column) -> Column:
@@ -47,9 +54,9 @@ def measured(rows: DataFrame, key: str, owner: str, channel: str, source: str, t
     a null source text has no end and no length.
     """
     text, value = F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(target), F.lit(""))
-    bare = F.regexp_replace(F.regexp_replace(value, WRAP, ""), BREAK, "")
-    words = F.split(_words_only(F.right(bare, F.lit(200))), " +")
-    no_mark = F.regexp_replace(value, "�+$", "")
+    text_tail, tail = _tail(text), _tail(value)
+    words = F.split(_words_only(F.regexp_replace(tail, BREAK, "")), " +")
+    no_mark = F.rtrim(value, F.lit("�"))
     facts = F.struct(
         F.col(version).alias("version"),
         F.col(owner).alias("owner"),
@@ -60,10 +67,10 @@ def measured(rows: DataFrame, key: str, owner: str, channel: str, source: str, t
         F.length(text).alias("source_chars"),
         F.size(F.split(F.trim(text), r"\n")).alias("source_lines"),
         F.size(F.split(F.trim(value), r"\n")).alias("lines"),
-        _ended(text).alias("source_ended"),
-        (_ended(value) & ~(_broken(value) & ~_broken(text))).alias("ended"),
-        (_broken(value) & ~_broken(text)).alias("broken"),
-        value.rlike(r"(?U)\s$").alias("loose"),
+        _ended(text_tail).alias("source_ended"),
+        (_ended(tail) & ~(_broken(tail) & ~_broken(text_tail))).alias("ended"),
+        (_broken(tail) & ~_broken(text_tail)).alias("broken"),
+        F.right(value, F.lit(1)).rlike(r"(?U)\s").alias("loose"),
         (value.startswith("*") & value.endswith("*")).alias("closed"),
         F.array_join(F.slice(words, -1, 1), " ").alias("last1"),
         F.when(F.size(words) > 1, F.array_join(F.slice(words, -2, 2), " ")).alias("last2"),
