@@ -40,6 +40,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> int:
+    """Partitions for work that is heavy for its bytes: some for every core, and no fewer than ``df`` is read in."""
+    context = df.sparkSession.sparkContext
+    return max(3 * context.defaultParallelism, df.rdd.getNumPartitions())
+
+
 def small_or_shuffled(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if its counted rows stay within ``limit``.
 
