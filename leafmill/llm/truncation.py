@@ -1,7 +1,7 @@
 """Values that lost their end on the way.
 
 A value whose last words are a strict prefix of words that go on elsewhere may
-have been cut. To find such prefixes, every run of three words of all values and
+have been cut. To find such prefixes, every run of two words of all values and
 the last words of the suspects are sorted together: a suspect's last words are a
 strict prefix of a longer run exactly if the next value in the order starts with
 them. The exact check that follows holds the suspect against its source text.
@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.session import checkpoint
+from leafmill.session import checkpoint, small_or_shuffled
 
 #: Words in a run that others are compared with; suspects are compared by their last one and two.
-RUN = 3
+RUN = 2
 #: A length is a channel's limit if so many values have it, and so many times the mean of lengths nearby more.
 LIMIT_LEAST, LIMIT_TIMES, NEARBY = 5, 6, 12
 #: Characters at the end in which end marks, break marks and the last words are looked for.
-TAIL = 200
+TAIL = 100
 #: Share of the book's usual target-to-source length below which a value is short.
 SHORT, SHORTER = 0.97, 0.85
 
@@ -125,8 +125,8 @@ def going_on(runs: DataFrame, parts: DataFrame) -> DataFrame:
     ).select(F.col("part").alias("value"), "inside")
 
 
-def truncated(rows: DataFrame, key: str, owner: str, channel: str, source: str, target: str, version: str) -> DataFrame:
-    """(key, channel, cut) of every row with a target, one row per key.
+def truncated(rows: DataFrame, key: str, owner: str, channel: str, source: str, target: str, version: str) -> tuple[DataFrame, DataFrame]:
+    """(key, channel) of every row that was cut, and of every row with a target; one row per key.
 
     A row is cut if its last words go on elsewhere, a break mark ends it or its
     length is its channel's limit, and its source text does not stop there too:
@@ -137,16 +137,18 @@ def truncated(rows: DataFrame, key: str, owner: str, channel: str, source: str,
     m = checkpoint(measured(rows, key, owner, channel, source, target, version))
     whole = m.where("ended and source_ended and source_chars >= 40")
     usual = whole.groupBy("owner").agg(F.percentile_approx(F.col("chars") / F.col("source_chars"), 0.5, 1000).alias("usual"))
-    limits = channel_limits(m)
+    usual, limits = checkpoint(usual), checkpoint(channel_limits(m))
     chars = limits.where("unit = 'chars'").select("channel", F.col("size").alias("chars"), F.lit(True).alias("full_chars")).distinct()
     reach = F.explode(F.sequence(F.col("size") - 3, F.col("size")))
     bytes_ = limits.where("unit = 'bytes'").select("channel", reach.alias("bytes"), F.lit(True).alias("full_bytes")).distinct()
-    m = m.join(usual, "owner", "left").join(chars, ["channel", "chars"], "left").join(bytes_, ["channel", "bytes"], "left")
-    m = m.withColumn("full", F.coalesce("full_chars", "full_bytes", F.lit(False)) & ~F.col("closed"))
-    m = m.withColumn("ratio", F.col("chars") / F.col("source_chars") / F.col("usual"))
-    fewer = F.col("lines") < F.col("source_lines")
+    j = m.join(small_or_shuffled(usual), "owner", "left")
+    j = j.join(small_or_shuffled(chars), ["channel", "chars"], "left").join(small_or_shuffled(bytes_), ["channel", "bytes"], "left")
+    j = j.withColumn("full", F.coalesce("full_chars", "full_bytes", F.lit(False)) & ~F.col("closed"))
+    j = j.withColumn("ratio", F.col("chars") / F.col("source_chars") / F.col("usual"))
     short = F.col("ratio") < F.when(F.col("loose"), SHORT).otherwise(SHORTER)
-    suspects = checkpoint(m.where(~F.col("ended") | F.col("broken") | ((F.col("full") | F.col("loose")) & short)))
+    suspects = j.where(~F.col("ended") | F.col("broken") | ((F.col("full") | F.col("loose")) & short))
+    fewer = (F.col("lines") < F.col("source_lines")).alias("fewer")
+    suspects = checkpoint(suspects.select("key", "channel", "last1", "last2", "ended", "source_ended", "source_chars", "broken", "loose", "full", "ratio", fewer))
     parts = suspects.select(F.explode(F.array("last1", "last2")).alias("value")).where("length(value) > 0").distinct()
     on = checkpoint(going_on(word_runs(rows, target), parts).groupBy("value").agg(F.max("inside").alias("inside"), F.min("inside").alias("always")))
     one, two = (on.select(F.col("value").alias(f"last{k}"), F.col("inside").alias(f"in{k}"), F.col("always").alias(f"always{k}")) for k in (1, 2))
@@ -157,9 +159,18 @@ def truncated(rows: DataFrame, key: str, owner: str, channel: str, source: str,
     fuller = (
         (F.col("source_ended") & ~F.col("ended") & (F.col("source_chars") > 0))
         | F.col("broken")
-        | (~F.col("ended") & fewer)
+        | (~F.col("ended") & F.col("fewer"))
         | (F.col("ended") & (F.col("full") | F.col("loose")) & short)
         | (~F.col("ended") & (F.col("full") | mid_word) & (ratio < SHORTER))
     )
-    cut = s.where(evidence & fuller).select("key", F.lit(True).alias("cut"))
-    return m.select("key", "channel").join(cut, "key", "left").select("key", "channel", F.coalesce("cut", F.lit(False)).alias("cut"))
+    return s.where(evidence & fuller).select("key", "channel"), m.select("key", "channel")
+
+
+def channel_shares(cut: DataFrame, rows: DataFrame) -> DataFrame:
+    """(channel, n_targets, n_cut, share_cut) from the two results of ``truncated``."""
+    counts = rows.groupBy("channel").agg(F.count(F.lit(1)).alias("n_targets"))
+    lost = cut.groupBy("channel").agg(F.count(F.lit(1)).alias("n_cut"))
+    c, x = counts.alias("c"), lost.alias("x")
+    n = F.coalesce("x.n_cut", F.lit(0))
+    joined = c.join(x, F.col("c.channel").eqNullSafe(F.col("x.channel")), "left")
+    return joined.select("c.channel", "c.n_targets", n.alias("n_cut"), (n / F.col("c.n_targets")).alias("share_cut"))

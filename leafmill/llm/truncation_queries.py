@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.truncation import truncated
+from leafmill.llm.truncation import channel_shares, truncated
 from leafmill.session import read_table
 
 
-def _judged(spark: SparkSession, folder: str) -> DataFrame:
+def _judged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     blocks = read_table(spark, folder, "blocks", ["block_key", "book_id", "source", "text", "target", "loaded_at"])
     return truncated(blocks, "block_key", "book_id", "source", "text", "target", "loaded_at")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _judged(spark, folder).where("cut").select(F.col("key").alias("block_key"))
+    return _judged(spark, folder)[0].select(F.col("key").alias("block_key"))
 
 
 def p6_channels(spark: SparkSession, folder: str) -> DataFrame:
     """Targets, cut targets and their share per channel."""
-    judged = _judged(spark, folder).groupBy(F.col("channel").alias("source"))
-    return judged.agg(
-        F.count(F.lit(1)).alias("n_targets"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("int")).alias("share_cut")
-    )
+    return channel_shares(*_judged(spark, folder)).withColumnRenamed("channel", "source")
 
 
 QUERIES = {"p6_found": p6_found, "p6_channels": p6_channels}
