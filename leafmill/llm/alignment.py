@@ -78,10 +78,11 @@ def terms(line: str) -> tuple[list[int], list[str]]:
 
 @dataclass
 class Model:
-    """For each pair of languages that occurs: its number, which tells its rows in the tables of weights and vectors."""
+    """For each pair of languages that occurs its number; for each side weights of terms, their rows, and vectors in these rows."""
 
     pairs: dict[int, int]
     weights: tuple[np.ndarray, np.ndarray] | None = None
+    rows: tuple[np.ndarray, np.ndarray] | None = None
     vectors: tuple[np.ndarray, np.ndarray] | None = None
 
     def base(self, text: str, target: str) -> int | None:
@@ -89,11 +90,14 @@ class Model:
         return None if pair is None else pair * TERMS
 
 
-def _bag(ids: list[int], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    unique, counts = np.unique(np.array(ids, np.int64), return_counts=True)
-    values = (1 + np.log(counts)) * weights[unique]
-    norm = np.sqrt((values**2).sum())
-    return unique, (values / norm if norm else values).astype(np.float32)
+    def bag(self, ids: list[int], side: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and weights of the known terms among ``ids``."""
+        unique, counts = np.unique(np.array(ids, np.int64), return_counts=True)
+        known = self.weights[side][unique] > 0
+        unique = unique[known]
+        values = (1 + np.log(counts[known])) * self.weights[side][unique]
+        norm = np.sqrt((values**2).sum())
+        return self.rows[side][unique], (values / norm if norm else values).astype(np.float32)
 
 
 Pairs = Iterator[tuple[list[int], list[int]]]
@@ -152,44 +156,59 @@ def _weights(bags: DataFrame, pairs: int) -> tuple[np.ndarray, np.ndarray]:
     return idf[:size], idf[size:]
 
 
-def _orthonormal(table: np.ndarray) -> np.ndarray:
-    """The columns of each pair's rows made orthonormal."""
-    return np.vstack([np.linalg.qr(table[low : low + TERMS])[0] for low in range(0, len(table), TERMS)]).astype(np.float32)
-
-
 def fit(bags: DataFrame, pairs: dict[int, int], dimensions: int = DIMENSIONS, rounds: int = ROUNDS) -> Model:
     """The model of paired bags of terms: (source array<int>, target array<int>)."""
     context = bags.sparkSession.sparkContext
-    size = len(pairs) * TERMS
     model = Model(pairs, _weights(bags, len(pairs)))
-    weights = context.broadcast(model.weights)
+    known = [np.flatnonzero(w > 0) for w in model.weights]
+    model.rows = tuple(np.zeros(len(w), np.int32) for w in model.weights)
+    for rows, at in zip(model.rows, known, strict=True):
+        rows[at] = np.arange(len(at))
+    # where each pair's rows begin and end
+    cuts = [np.searchsorted(at, np.arange(len(pairs) + 1) * TERMS) for at in known]
+    size = max(len(at) for at in known)
+    shared_model = context.broadcast(model)
 
     def product(given: np.ndarray, side: int) -> np.ndarray:
         """X^T Y given for side 0, Y^T X given for side 1."""
-        shared = context.broadcast(given)
+        shared = context.broadcast(given.astype(np.float16))
 
         def add(rows: Pairs, table: np.ndarray) -> None:
-            vectors, w = shared.value, weights.value
+            vectors, known_terms = shared.value.astype(np.float32), shared_model.value
             for pair in rows:
-                own, own_values = _bag(pair[side], w[side])
-                other, other_values = _bag(pair[1 - side], w[1 - side])
+                own, own_values = known_terms.bag(pair[side], side)
+                other, other_values = known_terms.bag(pair[1 - side], 1 - side)
                 table[own + side * size] += own_values[:, None] * (other_values @ vectors[other])[None, :]
 
-        summed = _summed(bags, size, dimensions, add)[side * size : (side + 1) * size]
-        shared.unpersist()
+        summed = _summed(bags, size, dimensions, add)[side * size : side * size + len(known[side])]
+        shared.destroy()
         return summed
 
-    right = np.random.default_rng(1).standard_normal((size, dimensions)).astype(np.float32)
+    def orthonormal(table: np.ndarray, side: int) -> np.ndarray:
+        """The columns of each pair's rows made orthonormal; a pair with few terms gets fewer columns."""
+        out = np.zeros_like(table)
+        for low, high in zip(cuts[side][:-1], cuts[side][1:], strict=True):
+            if high > low:
+                q = np.linalg.qr(table[low:high])[0]
+                out[low:high, : q.shape[1]] = q
+        return out
+
+    right = np.random.default_rng(1).standard_normal((len(known[1]), dimensions)).astype(np.float32)
     for k in range(rounds):
-        left = _orthonormal(product(right, 0))
+        left = orthonormal(product(right, 0), 0)
         basis = product(left, 1)
-        right = _orthonormal(basis) if k + 1 < rounds else basis
-    for low in range(0, size, TERMS):
-        rows = slice(low, low + TERMS)
-        v, s, w = np.linalg.svd(basis[rows], full_matrices=False)
+        right = orthonormal(basis, 1) if k + 1 < rounds else basis
+    for p in range(len(pairs)):
+        ls, rs = (slice(cuts[side][p], cuts[side][p + 1]) for side in (0, 1))
+        if rs.stop == rs.start:
+            continue
+        v, s, w = np.linalg.svd(basis[rs], full_matrices=False)
         scale = np.where(s > 1e-4 * max(s[0], 1e-9), (s / max(s[0], 1e-9)) ** 0.25, 0)
-        left[rows], right[rows] = left[rows] @ w.T * scale, v * scale
-    model.vectors = left.astype(np.float32), right.astype(np.float32)
+        turned = left[ls] @ w.T * scale
+        left[ls], right[rs] = 0, 0
+        left[ls, : len(s)], right[rs, : len(s)] = turned, v * scale
+    shared_model.destroy()
+    model.vectors = left.astype(np.float16), right.astype(np.float16)
     return model
 
 
@@ -204,8 +223,8 @@ def _side(lines: list[str], model: Model, side: int, base: int) -> tuple[np.ndar
     vectors, alike = [], []
     for k in numbers:
         ids, same = terms(lines[k - 1])
-        unique, values = _bag([base + i for i in ids], model.weights[side])
-        vectors.append(values @ model.vectors[side][unique] if len(unique) else np.zeros(model.vectors[side].shape[1], np.float32))
+        rows, values = model.bag([base + i for i in ids], side)
+        vectors.append(values @ model.vectors[side][rows].astype(np.float32))
         alike.append(set(same))
     single = np.array(vectors, np.float32).reshape(len(numbers), -1)
     # a merged window holds the terms of both lines
@@ -309,6 +328,7 @@ def learn(passages: DataFrame, dimensions: int = DIMENSIONS, rounds: int = ROUND
     for _ in range(2):
         shared = context.broadcast(model)
         bags = checkpoint(texts.mapInArrow(lambda b: _bags(b, shared.value), "source array<int>, target array<int>"))  # noqa: B023
+        shared.destroy()
         model = fit(bags, pairs, dimensions, rounds)
     return model
 
