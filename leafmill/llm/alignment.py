@@ -226,7 +226,7 @@ def _side(lines: list[str], model: Model, side: int, base: int) -> tuple[np.ndar
         rows, values = model.bag([base + i for i in ids], side)
         vectors.append(values @ model.vectors[side][rows].astype(np.float32))
         alike.append(set(same))
-    single = np.array(vectors, np.float32).reshape(len(numbers), -1)
+    single = np.array(vectors, np.float32).reshape(len(numbers), model.vectors[side].shape[1])
     # a merged window holds the terms of both lines
     merged = single[:-1] + single[1:]
     alike += [a | b for a, b in zip(alike[:-1], alike[1:], strict=True)] if len(numbers) > 1 else []

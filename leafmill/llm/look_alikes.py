@@ -149,23 +149,23 @@ def _compositions(spark: SparkSession) -> DataFrame:
 
 
 def code_points(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, at, k, x, kind): the replaced code points of each text in place."""
-    exploded = df.select(key, F.posexplode(F.split(F.col(text), "")).alias("at", "c")).where("c <> ''")
+    """(__key, at, k, x, kind): the replaced code points of each text in place."""
+    exploded = df.select(F.col(key).alias("__key"), F.posexplode(F.split(F.col(text), "")).alias("at", "c")).where("c <> ''")
     joined = exploded.join(F.broadcast(_mapping(df.sparkSession)), "c", "left")
     itself = F.array(F.struct(F.lit(0).alias("k"), F.col("c").alias("x"), F.lit(0).alias("kind")))
-    return joined.select(key, "at", F.explode(F.coalesce("parts", itself)).alias("p")).select(key, "at", "p.*")
+    return joined.select("__key", "at", F.explode(F.coalesce("parts", itself)).alias("p")).select("__key", "at", "p.*")
 
 
 def rebuilt(points: DataFrame, key: str) -> DataFrame:
     """(key, form): marks ordered by class behind their letter, recomposed, joined to a string."""
     spark = points.sparkSession
     in_order = "rows between unbounded preceding and current row"
-    starts = F.expr(f"sum(if(kind = 0, 1, 0)) over (partition by {key} order by at, k {in_order})")
-    following = F.expr(f"coalesce(lead(kind) over (partition by {key} order by at, k), 0)")
+    starts = F.expr(f"sum(if(kind = 0, 1, 0)) over (partition by __key order by at, k {in_order})")
+    following = F.expr("coalesce(lead(kind) over (partition by __key order by at, k), 0)")
     tagged = points.withColumn("letter_no", starts).withColumn("marked", (F.col("kind") != 0) | (following != 0))
     order = F.array_sort(F.collect_list(F.struct("kind", "at", "k", "x")))
     marked = (
-        tagged.where("marked").groupBy(key, "letter_no").agg(order.alias("cs"))
+        tagged.where("marked").groupBy("__key", "letter_no").agg(order.alias("cs"))
         .withColumn("letter", F.array_join(F.transform("cs", lambda c: c["x"]), ""))
     )
     whole = F.broadcast(_compositions(spark))
@@ -174,13 +174,13 @@ def rebuilt(points: DataFrame, key: str) -> DataFrame:
         marked = marked.join(whole.withColumnsRenamed({"letter": f"l{size}", "whole": f"w{size}"}), F.substring("letter", 1, size) == F.col(f"l{size}"), "left")
     best = F.when(F.col("w3").isNotNull(), F.concat("w3", F.expr("substring(letter, 4)")))
     best = best.when(F.col("w2").isNotNull(), F.concat("w2", F.expr("substring(letter, 3)"))).otherwise(F.col("letter"))
-    pieces = marked.select(key, "letter_no", best.alias("x")).unionByName(tagged.where("not marked").select(key, "letter_no", "x"))
-    listed = pieces.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("letter_no", "x"))).alias("xs"))
+    pieces = marked.select("__key", "letter_no", best.alias("x")).unionByName(tagged.where("not marked").select("__key", "letter_no", "x"))
+    listed = pieces.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("letter_no", "x"))).alias("xs"))
     joined = F.array_join(F.transform("xs", lambda c: c["x"]), "")
     letter = r"[\p{IsArabic}&&\p{L}]"
     joined = F.regexp_replace(joined, f"{ZWNJ}+", ZWNJ)
     joined = F.regexp_replace(joined, rf"(?<![\p{{M}}{letter}]){ZWNJ}|{ZWNJ}(?!{letter})", "")
-    return listed.select(key, joined.alias("form"))
+    return listed.select(F.col("__key").alias(key), joined.alias("form"))
 
 
 def consistent_form(df: DataFrame, key: str, text: str) -> DataFrame:
