@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,18 +45,23 @@ FREQUENT = {
     "es": set("el la los las de del y en un una que por con su al quien".split()),
     "it": set("il lo la gli di del della e in un una che per con nel chi".split()),
 }
-SCRIPTS = [("fa", regex.compile(r"\p{Arabic}")), ("ja", regex.compile(r"[\p{Hiragana}\p{Katakana}]")), ("zh", regex.compile(r"\p{Han}")),
-           ("hi", regex.compile(r"\p{Devanagari}")), ("th", regex.compile(r"\p{Thai}")), ("ru", regex.compile(r"\p{Cyrillic}"))]
-LANGUAGES = [*FREQUENT, *(name for name, _ in SCRIPTS)]
+SCRIPTS = {"fa": r"\p{Arabic}", "ja": r"\p{Hiragana}\p{Katakana}", "zh": r"\p{Han}", "hi": r"\p{Devanagari}", "th": r"\p{Thai}", "ru": r"\p{Cyrillic}"}
+RUNS = regex.compile("|".join(f"(?P<{name}>[{letters}]+)" for name, letters in SCRIPTS.items()) + r"|(?P<other>\p{L}+)")
+LANGUAGES = [*FREQUENT, *SCRIPTS]
 
 
 def language(text: str) -> int:
     """The number of the language a text is most likely in; tags may be missing."""
-    best = max(SCRIPTS, key=lambda s: len(s[1].findall(text)))
-    if 2 * len(best[1].findall(text)) > sum(c.isalpha() for c in text):
-        return LANGUAGES.index(best[0])
-    words = [w.casefold() for w in WORD.findall(text.replace("'", " ").replace("’", " "))]
-    return max(range(len(FREQUENT)), key=lambda k: sum(w in FREQUENT[LANGUAGES[k]] for w in words))
+    counts: dict[str, int] = {}
+    words = []
+    for run in RUNS.finditer(text):
+        counts[run.lastgroup] = counts.get(run.lastgroup, 0) + len(run.group())
+        if run.lastgroup == "other":
+            words.append(run.group().casefold())
+    best = max(SCRIPTS, key=lambda name: counts.get(name, 0))
+    if 2 * counts.get(best, 0) > sum(counts.values()):
+        return LANGUAGES.index(best)
+    return max(range(len(FREQUENT)), key=lambda k: sum(map(FREQUENT[LANGUAGES[k]].__contains__, words)))
 
 
 def terms(line: str) -> tuple[list[int], list[str]]:
@@ -100,11 +106,26 @@ class Model:
         return self.rows[side][unique], (values / norm if norm else values).astype(np.float32)
 
 
-Pairs = Iterator[tuple[list[int], list[int]]]
+#: What is added up comes as columns of a batch: for each side the offsets of its bags, and their entries.
+Add = Callable[[pa.RecordBatch, np.ndarray], None]
 
 
-def _summed(texts: DataFrame, size: int, columns: int, add: Callable[[Pairs, np.ndarray], None]) -> np.ndarray:
-    """The sum over all partitions of a table that ``add`` fills from the pairs of bags in ``texts``.
+def _entries(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The flat entries of a list column and the row of each."""
+    lists = batch.column(column)
+    return lists.flatten().to_numpy(zero_copy_only=False), pa.compute.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+
+
+def _added(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``table[rows] += values`` with rows that repeat."""
+    order = np.argsort(rows, kind="stable")
+    found, starts = np.unique(rows[order], return_index=True)
+    if len(found):
+        table[found] += np.add.reduceat(values[order], starts, axis=0)
+
+
+def _summed(texts: DataFrame, size: int, columns: int, add: Add) -> np.ndarray:
+    """The sum over all partitions of a table that ``add`` fills from the bags in ``texts``.
 
     Partitions send the rows they touched, in blocks; blocks are added up apart,
     and the table of 2 * ``size`` rows, the target's below the source's, returns.
@@ -113,7 +134,9 @@ def _summed(texts: DataFrame, size: int, columns: int, add: Callable[[Pairs, np.
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2 * size, columns), np.float32)
-        add(((s, t) for b in batches for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), table)
+        for batch in batches:
+            for low in range(0, len(batch), 1000):
+                add(batch.slice(low, 1000), table)
         yield from emit(table)
 
     def emit(table: np.ndarray, start: int = 0) -> Iterator[pa.RecordBatch]:
@@ -142,12 +165,14 @@ def _summed(texts: DataFrame, size: int, columns: int, add: Callable[[Pairs, np.
 def _weights(bags: DataFrame, pairs: int) -> tuple[np.ndarray, np.ndarray]:
     size = pairs * TERMS
 
-    def count(rows: Pairs, table: np.ndarray) -> None:
-        for source, target in rows:
-            table[list(set(source)), 0] += 1
-            table[[size + i for i in set(target)], 0] += 1
-            if source:
-                table[source[0] // TERMS * TERMS, 1] += 1
+    def count(batch: pa.RecordBatch, table: np.ndarray) -> None:
+        for side, column in enumerate(("source", "target")):
+            ids, of = _entries(batch, column)
+            distinct = np.unique(of.astype(np.int64) * size + ids) % size
+            table[:, 0] += np.bincount(distinct + side * size, minlength=len(table))
+            if not side:
+                firsts = np.unique(of, return_index=True)[1]
+                table[:, 1] += np.bincount(ids[firsts] // TERMS * TERMS, minlength=len(table))
 
     table = _summed(bags, size, 2, count)
     total = np.tile(np.repeat(np.maximum(1, table[:size:TERMS, 1]), TERMS), 2)
@@ -168,19 +193,31 @@ def fit(bags: DataFrame, pairs: dict[int, int], dimensions: int = DIMENSIONS, ro
     cuts = [np.searchsorted(at, np.arange(len(pairs) + 1) * TERMS) for at in known]
     size = max(len(at) for at in known)
     shared_model = context.broadcast(model)
+    kinds = pa.list_(pa.int32()), pa.list_(pa.float32())
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = []
+            for side, name in enumerate(("source", "target")):
+                found = [shared_model.value.bag(ids, side) for ids in b.column(name).to_pylist()]
+                columns += [pa.array([rows for rows, _ in found], kinds[0]), pa.array([values for _, values in found], kinds[1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["r0", "v0", "r1", "v1"])
+
+    weighed = checkpoint(bags.mapInArrow(weigh, "r0 array<int>, v0 array<float>, r1 array<int>, v1 array<float>"))
 
     def product(given: np.ndarray, side: int) -> np.ndarray:
         """X^T Y given for side 0, Y^T X given for side 1."""
         shared = context.broadcast(given.astype(np.float16))
 
-        def add(rows: Pairs, table: np.ndarray) -> None:
-            vectors, known_terms = shared.value.astype(np.float32), shared_model.value
-            for pair in rows:
-                own, own_values = known_terms.bag(pair[side], side)
-                other, other_values = known_terms.bag(pair[1 - side], 1 - side)
-                table[own + side * size] += own_values[:, None] * (other_values @ vectors[other])[None, :]
+        def add(batch: pa.RecordBatch, table: np.ndarray) -> None:
+            vectors = shared.value
+            (other, of), (weights, _) = _entries(batch, f"r{1 - side}"), _entries(batch, f"v{1 - side}")
+            texts = np.zeros((len(batch), dimensions), np.float32)
+            _added(texts, of, vectors[other].astype(np.float32) * weights[:, None])
+            (own, of), (weights, _) = _entries(batch, f"r{side}"), _entries(batch, f"v{side}")
+            _added(table, own + side * size, texts[of] * weights[:, None])
 
-        summed = _summed(bags, size, dimensions, add)[side * size : side * size + len(known[side])]
+        summed = _summed(weighed, size, dimensions, add)[side * size : side * size + len(known[side])]
         shared.destroy()
         return summed
 
