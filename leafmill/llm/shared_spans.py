@@ -4,8 +4,8 @@ Of every text some windows are kept so that any two equal spans of ``least``
 characters keep a window in common (winnowing: of each run of neighbouring
 windows the one with the least hash). First each partition counts its windows in
 a count-min sketch; the merged sketch never counts too little, so a window it
-counts once is nowhere else. A second pass groups the others exactly and extends
-each pair of equal windows to the whole span in the texts themselves.
+counts once is nowhere else. A second pass groups the others exactly; on each shift
+of two records with equal windows the texts are compared as a whole.
 """
 
 from __future__ import annotations
@@ -129,36 +129,64 @@ def merged_sketch(texts: DataFrame, least: int, window: int, bits: int) -> list[
     return sketch
 
 
+def _period(window: str) -> int:
+    """The least period of a window, at most its length."""
+    return next((p for p in range(1, len(window)) if window.startswith(window[p:])), len(window))
+
+
+def _runs(texts: list[str], of: np.ndarray, place: np.ndarray, hashes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(text number, first, last, step, hash) of the places of equal windows in a text.
+
+    Places at most half a window apart lie in a periodic stretch, so they are
+    multiples of the window's period apart and become one row; others have step 0.
+    """
+    order = np.lexsort((place, hashes, of))
+    of, place, hashes = of[order], place[order], hashes[order]
+    near = np.zeros(len(of), bool)
+    near[1:] = (of[1:] == of[:-1]) & (hashes[1:] == hashes[:-1]) & (np.diff(place) <= window // 2)
+    first = np.flatnonzero(~near)
+    last = np.append(first[1:], len(of))[: len(first)] - 1
+    step = np.zeros(len(first), np.int64)
+    for k in np.flatnonzero(last > first):
+        at = place[first[k]]
+        step[k] = _period(texts[of[first[k]]][at : at + window])
+    return of[first], place[first], place[last], step, hashes[first]
+
+
 def _repeated(batches: Iterator[pa.RecordBatch], least: int, window: int, bits: int, shared: Broadcast) -> Iterator[pa.RecordBatch]:
     sketch = shared.value
     for batch in batches:
-        of, place, hashes = kept_windows(batch.column(2).to_pylist(), least, window)
+        texts = batch.column(2).to_pylist()
+        of, place, hashes = kept_windows(texts, least, window)
         keep = np.ones(len(hashes), bool)
         for k in range(DEPTH):
             cells = _cells(hashes, k, bits)
             keep &= (sketch[k][cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
-        of = pa.array(of[keep])
+        of, first, last, step, hashes = _runs(texts, of[keep], place[keep], hashes[keep], window)
+        of = pa.array(of)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(of), batch.column(1).take(of), pa.array(place[keep].astype(np.int32)), pa.array(hashes[keep].view(np.int64))],
-            names=["key", "field", "at", "hash"],
+            [batch.column(0).take(of), batch.column(1).take(of), *(pa.array(x.astype(np.int32)) for x in (first, last, step)), pa.array(hashes.view(np.int64))],
+            names=["key", "field", "first", "last", "step", "hash"],
         )
 
 
 def _spans(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    """Extend each pair of equal windows to the whole equal span around it."""
+    """Every longest equal span of two texts on each of the shifts at which they have a window in common."""
     for pairs in batches:
         out = []
         for row in pairs.itertuples(index=False):
             a = np.frombuffer(row.text_a.encode("utf-32-le", "surrogatepass"), np.uint32)
             b = np.frombuffer(row.text_b.encode("utf-32-le", "surrogatepass"), np.uint32)
-            back = min(row.at_a, row.at_b)
-            ahead = min(len(a) - row.at_a, len(b) - row.at_b)
-            off = np.flatnonzero(a[row.at_a - back : row.at_a + ahead] != b[row.at_b - back : row.at_b + ahead])
-            at = np.searchsorted(off, back)
-            left = off[at - 1] + 1 if at else 0
-            right = off[at] if at < len(off) else back + ahead
-            if right - left >= least:
-                out.append((row.a, row.field_a, row.at_a - back + left, row.b, row.field_b, row.at_b - back + left, right - left))
+            for shift in row.shifts:
+                at_a, at_b = int(max(shift, 0)), int(max(-shift, 0))
+                n = min(len(a) - at_a, len(b) - at_b)
+                if n < least:
+                    continue
+                off = np.concatenate([[-1], np.flatnonzero(a[at_a : at_a + n] != b[at_b : at_b + n]), [n]])
+                lengths = np.diff(off) - 1
+                for k in np.flatnonzero(lengths >= least):
+                    left = int(off[k]) + 1
+                    out.append((row.a, row.field_a, at_a + left, row.b, row.field_b, at_b + left, int(lengths[k])))
         yield pd.DataFrame(out, columns=["a", "field_a", "start_a", "b", "field_b", "start_b", "length"])
 
 
@@ -184,26 +212,23 @@ def shared_spans(rows: DataFrame, key: str, fields: list[str], least: int = LEAS
     bits = min(MAX_BITS, max(MIN_BITS, int(4 * windows).bit_length()))
     sketch = spark.sparkContext.broadcast(merged_sketch(texts, least, window, bits))
     kind = dict(rows.dtypes)[key]
-    found = texts.mapInArrow(lambda b: _repeated(b, least, window, bits, sketch), f"key {kind}, field string, at int, hash long")
-    # a window that recurs in one field counts at its first place only if the text is periodic
-    found = checkpoint(found.groupBy("hash", "key", "field").agg(F.min("at").alias("at"), F.max("at").alias("last")))
-    places = found.select("hash", "key", "field", F.explode(F.array_distinct(F.array("at", "last"))).alias("at"))
+    found = texts.mapInArrow(lambda b: _repeated(b, least, window, bits, sketch), f"key {kind}, field string, first int, last int, step int, hash long")
+    found = checkpoint(found.distinct())
     repeated = found.groupBy("hash").agg((F.min("key") != F.max("key")).alias("more")).where("more").select("hash")
-    places = checkpoint(places.join(repeated, "hash"))
+    places = checkpoint(found.join(repeated, "hash"))
     x, y = places.alias("x"), places.alias("y")
     pairs = x.join(y, (F.col("x.hash") == F.col("y.hash")) & (F.col("x.key") < F.col("y.key")))
-    pairs = pairs.groupBy(
-        F.col("x.key").alias("a"), F.col("x.field").alias("field_a"), F.col("y.key").alias("b"), F.col("y.field").alias("field_b"),
-        (F.col("x.at") - F.col("y.at")).alias("shift"),
-    ).agg(F.min("x.at").alias("at_a"))
-    pairs = checkpoint(pairs.withColumn("at_b", F.col("at_a") - F.col("shift")))
+    # all shifts of two rows of places; the same window has the same period in both
+    shifts = F.sequence(F.col("x.first") - F.col("y.last"), F.col("x.last") - F.col("y.first"), F.greatest(F.lit(1), "x.step", "y.step"))
+    pairs = pairs.select(F.col("x.key").alias("a"), F.col("x.field").alias("field_a"), F.col("y.key").alias("b"), F.col("y.field").alias("field_b"), F.explode(shifts).alias("shift"))
+    pairs = checkpoint(pairs.groupBy("a", "field_a", "b", "field_b").agg(F.collect_set("shift").alias("shifts")))
     involved = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("field_a").alias("field")), F.struct(F.col("b").alias("key"), F.col("field_b").alias("field")))).alias("i"))
     involved = involved.select("i.*").distinct()
     needed = checkpoint(texts.join(involved, ["key", "field"], "left_semi").groupBy("key", "field").agg(F.max("text").alias("text")))
     side = lambda s: needed.select(F.col("key").alias(s), F.col("field").alias(f"field_{s}"), F.col("text").alias(f"text_{s}"))
     both = pairs.join(side("a"), ["a", "field_a"]).join(side("b"), ["b", "field_b"])
     schema = f"a {kind}, field_a string, start_a int, b {kind}, field_b string, start_b int, length int"
-    return both.select("a", "field_a", "at_a", "b", "field_b", "at_b", "text_a", "text_b").mapInPandas(lambda b: _spans(b, least), schema).distinct()
+    return both.select("a", "field_a", "b", "field_b", "shifts", "text_a", "text_b").mapInPandas(lambda b: _spans(b, least), schema).distinct()
 
 
 def _covered(spans: Column) -> Column:
