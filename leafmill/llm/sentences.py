@@ -283,12 +283,7 @@ def fit(documents: DataFrame) -> SentenceModel:
     words = F.flatten(F.array(*[tagged(kind, found) for kind, found in kinds]))
     counted = texts.select(F.explode(words).alias("w")).groupBy("w.kind", "w.word").agg(F.count(F.lit(1)).alias("n"))
     counted = checkpoint(counted)
-    totals = counted.groupBy("kind").agg(F.sum("n").alias("total"))
-    frequent = counted.join(F.broadcast(totals), "kind").where(F.col("n") >= F.greatest(F.lit(2), F.lit(RARE) * F.col("total")))
-    counts: dict[str, dict[str, int]] = {k: {} for k, _ in kinds}
-    for row in frequent.select("kind", "word", "n").toLocalIterator():  # at most 1 / RARE words of each kind
-        counts[row.kind][row.word] = row.n
-    model = _model(counts)
+    model = _model(counted)
     # Thai: lines joined by spaces are the training text, its line ends the boundaries
     kinds_of = lambda c: (
         F.when(c.rlike(r"\p{Nd}"), "numeral").when(c == "ๆ", "repeat").when(c.rlike(r"\p{IsLatin}"), "latin").otherwise("other")
@@ -305,16 +300,26 @@ def fit(documents: DataFrame) -> SentenceModel:
     return model
 
 
-def _model(counts: dict[str, dict[str, int]]) -> SentenceModel:
+def _model(counted: DataFrame) -> SentenceModel:
+    """Words that end or open lines are looked up in the exact counts; only the words found are cut by ``RARE``."""
     model = SentenceModel()
-    ends, stops, starts = counts["end"], counts["stop"], counts["start"]
-    share = min(0.9, max(0.02, sum(ends.get(w, 0) for w in stops) / max(sum(stops.values()), 1)))
-    for word, n in stops.items():
-        # log-odds that a word which never ends a line is an abbreviation
-        if not ends.get(word) and -n * math.log(1 - share) > 5 and any(c.isalpha() for c in word):
-            model.abbreviations.add(word)
-    model.after_number |= {w for w, n in counts["number"].items() if n >= 9 and not starts.get(w) and not w[0].isdigit()}
-    model.pauses |= {w for w in counts["dots"] if not ends.get(w)}
+    of = lambda kind: counted.where(F.col("kind") == kind).select("word", F.col("n").alias(f"n_{kind}"))
+    totals = {r.kind: r.total for r in counted.groupBy("kind").agg(F.sum("n").alias("total")).collect()}  # five rows
+    least = lambda kind: max(2, RARE * totals.get(kind, 0))
+    stops = of("stop").where(F.col("n_stop") >= least("stop"))
+    sums = stops.join(of("end"), "word", "left").agg(F.sum("n_end").alias("ends"), F.sum("n_stop").alias("stops")).first()
+    share = min(0.9, max(0.02, (sums.ends or 0) / max(sums.stops or 0, 1)))
+    # log-odds that a word which never ends a line is an abbreviation
+    enough = -F.col("n_stop") * math.log(1 - share) > 5
+    for row in stops.where(enough).join(of("end"), "word", "left_anti").toLocalIterator():  # at most 1 / RARE words of each kind
+        if any(c.isalpha() for c in row.word):
+            model.abbreviations.add(row.word)
+    often = F.col("n_number") >= max(9, least("number"))
+    for row in of("number").where(often).join(of("start"), "word", "left_anti").toLocalIterator():
+        if not row.word[0].isdigit():
+            model.after_number.add(row.word)
+    for row in of("dots").where(F.col("n_dots") >= least("dots")).join(of("end"), "word", "left_anti").toLocalIterator():
+        model.pauses.add(row.word)
     return model
 
 
