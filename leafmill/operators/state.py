@@ -149,19 +149,20 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("component"))
 
 
-def parent_cycles(children: DataFrame, depth: int = 64) -> DataFrame:
+def parent_cycles(children: DataFrame) -> DataFrame:
     """(id): ids of (id, parent) that lie on a cycle of parents; of several parents the least counts.
 
-    Pointers are doubled until they span ``depth`` steps, so they end on cycles if
-    no chain without one is longer.
+    Pointers are doubled until the nodes they reach no longer become fewer: then
+    each of these is reached from another of them, so all lie on cycles.
     """
     reach = checkpoint(children.where("id is not null and parent is not null").groupBy("id").agg(F.min("parent").alias("top")))
-    steps = 1
-    while steps < depth:
+    tops = lambda: reach.select(F.col("top").alias("id")).distinct()
+    before, now = -1, tops().count()
+    while now != before:
         onward = reach.select(F.col("id").alias("top"), F.col("top").alias("next"))
         reach = checkpoint(reach.join(onward, "top").select("id", F.col("next").alias("top")))
-        steps *= 2
-    return reach.select(F.col("top").alias("id")).distinct()
+        before, now = now, tops().count()
+    return tops()
 
 
 def grid_problems(cells: DataFrame, sizes: DataFrame) -> DataFrame:
