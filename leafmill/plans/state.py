@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import state as op
 from leafmill.operators.references import reference_key
-from leafmill.plans.common import SQL, blocks
+from leafmill.plans.common import SQL, blocks, notes
 from leafmill.plans.glossary import entries
 from leafmill.session import read_table
 
@@ -55,9 +55,9 @@ def events_once(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merged_replies(spark: SparkSession, folder: str) -> DataFrame:
-    """Targets of reviews in a book's first twenty units as replies."""
-    units = blocks(spark, folder).select("book_id", "id", "target")
-    replies = _reviews(spark, folder).where("target is not null").select("book_id", reference_key(F.col("id")).alias("id"), "target").where("id between 'b00001' and 'b00020'")
+    """Targets of reviews as replies; blocks and footnotes are units of their book."""
+    units = blocks(spark, folder).select("book_id", "id", "target").unionByName(notes(spark, folder).select("book_id", "id", "target"))
+    replies = _reviews(spark, folder).where("target is not null").select("book_id", reference_key(F.col("id")).alias("id"), "target")
     return op.merged_replies(units, replies)
 
 
