@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.markup import emphasis_signature, spans_of
 from leafmill.operators.blocks import OTHER_TYPES, TEXT_TYPES, is_blank, note_references, text_blocks
 
 #: Most characters of a finding's detail.
@@ -89,14 +90,22 @@ def copied_gate(blocks: DataFrame) -> DataFrame:
 
 
 def parity_gate(blocks: DataFrame) -> DataFrame:
-    """Note markers and code spans that a translation lost or invented."""
+    """Note markers and code spans that a translation lost or invented, and emphasis that differs in number."""
     both = text_blocks(blocks).where(~is_blank(F.col("target")) & ~is_blank(F.col("text")))
     marks = lambda c: F.array_sort(F.regexp_extract_all(F.regexp_replace(c, "`[^`]*`", ""), F.lit(r"\[\[fn:([A-Za-z0-9_-]+)\]\]"), 1))
     code = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit("`([^`]*)`"), 1))
     b = both.withColumn("s", marks("text")).withColumn("t", marks("target"))
     b = b.withColumn("sv", code("text")).withColumn("tv", code("target"))
     lost, made = F.array_except("s", "t"), F.array_except("t", "s")
+    # a text without marks has no emphasis; only the others are parsed
+    marked = b.where(F.col("text").rlike("[*`]") | F.col("target").rlike("[*`]"))
+    styled = lambda x: F.struct((x["bold"] & ~x["verbatim"]).alias("bold"), (x["italic"] & ~x["verbatim"]).alias("italic"), x["verbatim"].alias("verbatim"))
+    for side, column in (("se", "text"), ("te", "target")):
+        counted = F.transform(F.filter("spans", lambda x: x["footnote"].isNull()), styled)
+        marked = spans_of(marked, column).withColumn(side, emphasis_signature(counted)).drop("spans")
+    shown = lambda e: F.concat(F.lit("("), F.concat_ws(", ", *[F.col(f"{e}.{k}") for k in ("bold", "italic", "verbatim")]), F.lit(")"))
     return all_findings(
+        finding(marked.where("se <> te"), "warning", "emphasis-parity", F.col("id"), F.concat(shown("se"), F.lit(" -> "), shown("te"))),
         finding(b.where(F.size(lost) > 0), "error", "footnote-marker-lost", F.col("id"), F.array_join(lost, ",")),
         finding(b.where(F.size(made) > 0), "error", "footnote-marker-invented", F.col("id"), F.array_join(made, ",")),
         finding(b.where(F.col("sv") != F.col("tv")), "error", "verbatim-content-changed", F.col("id"), F.array_join("sv", ",")),
