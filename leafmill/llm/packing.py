@@ -2,11 +2,12 @@
 
 Which sizes go together depends on how many items there are of each size only,
 so the plan is made from the counts of sizes: at most as many numbers as the
-capacity, however many items there are. Bin completion: around the largest size
-left, the undominated fillings are enumerated by branch and bound on the unused
-space, and the best one is used as often as the counts allow. Best-fit decreasing
-is the incumbent; the plan with fewer containers wins. Items then find their
-container by their rank among items of the same size, counted per partition.
+capacity, however many items there are. Bin completion: a depth-first search
+decides on one filling around the largest size left, and how often it is used. Only
+undominated fillings are tried, none that wastes more than the incumbent allows; the
+best plan so far, at first best-fit decreasing, is the incumbent, and the search ends
+when it meets the lower bound. Items then find their container by their rank among
+the items of their size, in order of their keys.
 """
 
 from __future__ import annotations
@@ -22,53 +23,204 @@ from pyspark.sql import functions as F
 
 from leafmill.session import checkpoint
 
-#: Places of the search tree visited for one filling before the best one found is taken.
-NODES = 4000
+#: Steps of the search over all fillings of a pack; the incumbent is taken when they are used up. `fill_report` gives its distance from the bound.
+NODES = 200_000
+
+#: Steps of the search for a full container, and of the first dive's for each of its fillings.
+SHORT = 500
 
 #: One filling: ((size, items of it), ...) and the number of containers filled so.
 Filling = tuple[tuple[tuple[int, int], ...], int]
 
 
-def _complete(room: int, sizes: list[int], counts: dict[int, int], nodes: int) -> list[int]:
-    """The best filling of ``room`` found: sizes, largest first. ``sizes`` ascends."""
-    best: list[int] = []
-    least = room  # unused space of the incumbent
-    chosen: list[int] = []
-    used: dict[int, int] = {}
-    left = nodes
-
-    def free(size: int) -> int:
-        return counts.get(size, 0) - used.get(size, 0)
-
-    def branch(space: int, below: int) -> bool:
-        """Extend ``chosen`` by sizes up to ``below``; True ends the search."""
-        nonlocal best, least, left
-        left -= 1
-        if space < least:
-            best, least = chosen[:], space
-        if least == 0 or left <= 0:
-            return True
-        if space <= below and free(space) > 0:  # one item that fills the space dominates all else
-            best, least = [*chosen, space], 0
-            return True
-        at = bisect.bisect_right(sizes, min(space, below)) - 1
-        while at >= 0:
-            size = sizes[at]
-            if free(size) > 0:
-                fits = min(space // size, free(size))
-                # nothing but items up to this size can follow: the waste they leave at least
-                if fits == 0 or (at == 0 and space - fits * size >= least):
-                    return False
-                chosen.append(size)
-                used[size] = used.get(size, 0) + 1
-                if branch(space - size, size):
-                    return True
-                chosen.pop()
-                used[size] -= 1
-            at -= 1
-        return False
-
-    branch(room, room)
+def least_containers(histogram: dict[int, int], capacity: int) -> int:
+    """No plan has fewer: by the sum of sizes, or by items too large to share a container, with what cannot stand beside them."""
+    sizes = sorted(histogram)
+    total = sum(s * n for s, n in histogram.items())
+    best = -(-total // capacity)
+    for low in sorted({0, *(s for s in sizes if s <= capacity // 2)}):
+        # items above capacity - low stand without any of at least low; those over the half stand alone
+        alone = sum(histogram[s] for s in sizes if s > capacity - low)
+        halves = [(s, histogram[s]) for s in sizes if capacity // 2 < s <= capacity - low]
+        count = sum(n for _, n in halves)
+        room = count * capacity - sum(s * n for s, n in halves)
+        small = sum(s * histogram[s] for s in sizes if low <= s <= capacity // 2)
+        best = max(best, alone + count + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+class _Stock:
+    """Items left by size: counts, the sizes that have any in order, and these sizes as bits."""
+
+    def __init__(self, histogram: dict[int, int]) -> None:
+        self.counts = {s: n for s, n in histogram.items() if n > 0}
+        self.sizes = sorted(self.counts)
+        self.bits = sum(1 << s for s in self.sizes)
+
+    def add(self, size: int, n: int) -> None:
+        """``n`` more items of a size, or fewer if it is negative."""
+        before = self.counts.get(size, 0)
+        self.counts[size] = before + n
+        if before and not before + n:
+            self.sizes.pop(bisect.bisect_left(self.sizes, size))
+            self.bits ^= 1 << size
+        elif not before and n:
+            bisect.insort(self.sizes, size)
+            self.bits ^= 1 << size
+
+
+def _smeared(bits: int, by: int) -> int:
+    """``bits`` moved up by 0, 1, ... and ``by`` places, together."""
+    reach = 0
+    while reach < by:
+        step = min(reach + 1, by - reach)
+        bits |= bits << step
+        reach += step
+    return bits
+
+
+def _dominated(chosen: list[tuple[int, int]], space: int, stock: _Stock) -> bool:
+    """Whether a free item fits into ``space``, or into it together with the room of some smaller ``chosen`` ones."""
+    single, several, free = 0, 0, stock.bits  # bits: sums of one chosen item, and of two or more
+    for size, n in chosen:
+        if n == stock.counts[size]:
+            free ^= 1 << size
+        for _ in range(n):
+            several |= (several | single) << size
+            single |= 1 << size
+    if free & ((1 << space + 1) - 1) & ~1:
+        return True
+    larger = _smeared(single << 1, space - 1) if space else 0
+    return bool((_smeared(several, space) | larger) & free)
+
+
+def _ways(room: int, stock: _Stock, spare: int, steps: list[int]) -> Iterator[tuple[list[tuple[int, int]], int]]:
+    """Undominated fillings of ``room``, as ((size, items), ...) and the space left, largest items first.
+
+    None that leaves more than ``spare`` is given. ``steps`` counts down; at 0 the
+    rest is left out. The stock must be the same whenever the next one is asked for.
+    """
+    sizes, counts = stock.sizes, stock.counts
+    chosen: list[tuple[int, int]] = []
+    stack: list[tuple[int, int, int, int]] = []  # place in sizes, space and items chosen before it, how many to choose
+
+    def visit(at: int, space: int) -> bool:
+        """Queue the choices at a place; False if nothing can follow."""
+        if at < 0 or not space:
+            return False
+        lacking, k = space - spare, at
+        while lacking > 0 and k >= 0:
+            lacking -= sizes[k] * counts[sizes[k]]
+            k -= 1
+        if lacking <= 0:  # else all that can follow leaves too much
+            stack.append((at, space, len(chosen), min(counts[sizes[at]], space // sizes[at])))
+        return True
+
+    if not visit(bisect.bisect_right(sizes, room) - 1, room) and room <= spare:
+        yield [], room
+    while stack and steps[0] > 0:
+        steps[0] -= 1
+        at, space, depth, n = stack.pop()
+        del chosen[depth:]
+        if n:
+            stack.append((at, space, depth, n - 1))
+            chosen.append((sizes[at], n))
+        left = space - n * sizes[at]
+        below = min(at, bisect.bisect_right(sizes, left)) - 1
+        if not visit(below, left) and left <= spare and not _dominated(chosen, left, stock):
+            yield chosen[:], left
+
+
+def _completions(capacity: int, stock: _Stock, spare: int, steps: list[int]) -> Iterator[tuple[tuple[tuple[int, int], ...], int]]:
+    """Fillings around the largest size: first full ones that a short search finds, then all others."""
+    largest = stock.sizes[-1]
+    given = set()
+    for limit, budget in ((0, [min(SHORT, steps[0])]), (spare, steps)):
+        stock.add(largest, -1)
+        ways = _ways(capacity - largest, stock, limit, budget)
+        while found := next(ways, None):
+            stock.add(largest, 1)
+            need = {largest: 1}
+            for size, n in found[0]:
+                need[size] = need.get(size, 0) + n
+            way = tuple(sorted(need.items(), reverse=True))
+            if way not in given:
+                given.add(way)
+                yield way, found[1]
+            stock.add(largest, -1)
+        stock.add(largest, 1)
+
+
+@dataclass
+class _Level:
+    """One decision of the search: the ways still to try around the largest size, the one in use and how often."""
+
+    ways: Iterator[tuple[tuple[tuple[int, int], ...], int]]
+    way: tuple[tuple[int, int], ...] = ()
+    space: int = 0
+    times: int = 0
+
+
+def _first_dive(histogram: dict[int, int], capacity: int) -> list[Filling]:
+    """The filling with the least space left that a short search finds, used as often as the counts allow, until nothing is left."""
+    stock, plan = _Stock(histogram), []
+    while stock.sizes:
+        way, _ = min(_completions(capacity, stock, capacity, [2 * SHORT]), key=lambda x: x[1], default=(((stock.sizes[-1], 1),), 0))
+        times = min(stock.counts[s] // n for s, n in way)
+        for size, n in way:
+            stock.add(size, -n * times)
+        plan.append((way, times))
+    return plan
+
+
+def bin_completion(histogram: dict[int, int], capacity: int, nodes: int = NODES) -> list[Filling]:
+    """Fillings for all items of ``histogram`` (size -> items, sizes from 1 to ``capacity``)."""
+    stock = _Stock(histogram)
+    if not stock.sizes:
+        return []
+    containers = lambda plan: sum(times for _, times in plan)
+    least = least_containers(stock.counts, capacity)
+    best = best_fit(histogram, capacity)
+    if containers(best) > least:
+        best = min(best, _first_dive(histogram, capacity), key=containers)
+    fewest, total = containers(best), sum(s * n for s, n in stock.counts.items())
+    steps, wasted, used = [nodes], 0, 0
+
+    def spare() -> int:
+        """Space that a plan with one container less than the incumbent may still waste."""
+        return (fewest - 1) * capacity - total - wasted
+
+    levels = [_Level(_completions(capacity, stock, spare(), steps))]
+    while levels and fewest > least and steps[0] > 0:
+        level = levels[-1]
+        if level.times:  # one container less of this way
+            for size, n in level.way:
+                stock.add(size, n * level.times)
+            wasted -= level.space * level.times
+            used -= level.times
+            level.times -= 1
+        if not level.times:
+            found = next(level.ways, None)
+            if found is None:
+                levels.pop()
+                continue
+            level.way, level.space = found
+            level.times = min(stock.counts[s] // n for s, n in level.way)
+        if level.space:
+            level.times = min(level.times, max(0, spare()) // level.space)
+        if spare() < 0 or not level.times:
+            level.times = 0
+            continue
+        steps[0] -= 1
+        for size, n in level.way:
+            stock.add(size, -n * level.times)
+        wasted += level.space * level.times
+        used += level.times
+        if not stock.sizes:
+            if used < fewest:
+                best, fewest = [(x.way, x.times) for x in levels], used
+        elif used + -(-(total + wasted - used * capacity) // capacity) < fewest:
+            levels.append(_Level(_completions(capacity, stock, spare(), steps)))
     return best
 
 
@@ -85,20 +237,6 @@ def _take(filling: list[int], counts: dict[int, int], sizes: list[int]) -> Filli
     return tuple(sorted(need.items(), reverse=True)), times
 
 
-def bin_completion(histogram: dict[int, int], capacity: int, nodes: int = NODES) -> list[Filling]:
-    """Fillings for all items of ``histogram`` (size -> items, sizes from 1 to ``capacity``)."""
-    counts = {s: n for s, n in histogram.items() if n > 0}
-    sizes, plan = sorted(counts), []
-    while sizes:
-        largest = sizes[-1]
-        counts[largest] -= 1
-        rest = _complete(capacity - largest, sizes, counts, nodes)
-        counts[largest] += 1
-        plan.append(_take([largest, *rest], counts, sizes))
-    incumbent = best_fit(histogram, capacity)
-    return min(plan, incumbent, key=lambda p: sum(times for _, times in p))
-
-
 def best_fit(histogram: dict[int, int], capacity: int) -> list[Filling]:
     """Best-fit decreasing by sizes: every container takes the largest size that still fits."""
     counts = {s: n for s, n in histogram.items() if n > 0}
@@ -166,7 +304,10 @@ def packed(items: DataFrame, packs: DataFrame, nodes: int = NODES) -> DataFrame:
     primary = lambda c: F.lower(F.split(c, "[-_]")[0])
     settings = packs.where("capacity_tokens > 0").select("pack_name", F.col("capacity_tokens").alias("capacity"), primary(F.col("lang")).alias("only")).distinct()
     fitting = items.join(F.broadcast(settings), F.col("only").isNull() | (primary(F.col("lang")) == F.col("only")))
-    cut = checkpoint(pieces(fitting.select("pack_name", "capacity", "doc_id", "tokens")).withColumn("slice", F.spark_partition_id()))
+    cut = pieces(fitting.select("pack_name", "capacity", "doc_id", "tokens"))
+    # ranks follow the order of keys; ranges of the sort split a size that many items share
+    order = ["pack_name", "size", "doc_id", "piece_no"]
+    cut = checkpoint(cut.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("slice", F.spark_partition_id()))
     counts = checkpoint(cut.groupBy("pack_name", "capacity", "size", "slice").agg(F.count(F.lit(1)).alias("n")))
     slots = {}
     histograms: dict[tuple[str, int], dict[int, int]] = {}
@@ -194,9 +335,13 @@ def packed(items: DataFrame, packs: DataFrame, nodes: int = NODES) -> DataFrame:
 
 
 def fill_report(placed: DataFrame, packs: DataFrame) -> DataFrame:
-    """(pack_name, containers, least_possible, used_share) of each pack."""
-    capacities = packs.select("pack_name", "capacity_tokens").distinct()
+    """(pack_name, containers, least_possible, gap, used_share) of each pack.
+
+    ``least_possible`` is the lower bound by the sum of sizes; with ``gap`` 0 the plan is proven best.
+    """
+    capacities = packs.where("capacity_tokens > 0").select("pack_name", "capacity_tokens").distinct()
     sums = placed.groupBy("pack_name").agg(F.sum("size").alias("tokens"), F.max("container_no").alias("containers"))
     joined = sums.join(F.broadcast(capacities), "pack_name")
     room = F.col("containers") * F.col("capacity_tokens")
-    return joined.select("pack_name", "containers", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_possible"), (F.col("tokens") / room).alias("used_share"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity_tokens")))
+    return joined.select("pack_name", "containers", least.alias("least_possible"), (F.col("containers") - least).alias("gap"), (F.col("tokens") / room).alias("used_share"))
