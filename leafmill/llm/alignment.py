@@ -7,8 +7,9 @@ sides, each partition adding up its texts. Terms are hashed, so a vector table h
 a fixed size. A first model comes from whole passages, a second from the lines the
 first pairs.
 
-Lines are matched as single ones and as two merged neighbours, by the cosine less
-the mean of each side's nearest neighbours (the margin), in any order.
+Lines are matched as windows of one to three neighbours, by the cosine less the mean
+of each side's nearest neighbours (the margin), in any order: windows that are each
+other's best partners pair up, then those of the lines that are left, until none are.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +32,10 @@ from leafmill.session import checkpoint, spread
 
 #: Hashed terms of a language in a pair, dimensions of the vectors, rounds of subspace iteration, rows of a table in one block.
 TERMS, DIMENSIONS, ROUNDS, BLOCK = 1 << 13, 128, 2, 512
-#: Nearest neighbours in the margin, least margin of a pair, gain a merged window must bring.
-NEIGHBOURS, LEAST_MARGIN, MERGE_GAIN = 4, 0.12, 0.02
+#: Nearest neighbours in the margin, least margin of a pair, most lines in a window, gain that each merged line must bring.
+NEIGHBOURS, LEAST_MARGIN, MERGED, MERGE_GAIN = 4, 0.12, 3, 0.02
+#: Pairs of languages that one model holds: it bounds the memory of a task and of the driver.
+PAIRS = 8
 #: Weight of equal numbers and names, and of equal relative places, in a similarity.
 EQUAL, PLACE = 0.5, 0.1
 
@@ -64,21 +69,28 @@ def language(text: str) -> int:
     return max(range(len(FREQUENT)), key=lambda k: sum(map(FREQUENT[LANGUAGES[k]].__contains__, words)))
 
 
+@lru_cache(1 << 16)
+def _word(word: str) -> tuple[tuple[int, ...], str | None]:
+    """Hashed terms of a word, and how it is written in any language if it is a number or a Latin name."""
+    plain, alike = word.casefold().strip("'’-"), None
+    if not plain:
+        return (), None
+    if plain[0].isdigit():
+        plain = alike = "".join(str(unicodedata.digit(c, c)) for c in plain)
+    elif word[0].isupper():
+        alike = "".join(c for c in unicodedata.normalize("NFD", plain) if not unicodedata.combining(c))
+    whole = zlib.crc32(plain.encode()) % TERMS
+    return (whole, zlib.crc32(("^" + plain[:5]).encode()) % TERMS) if len(plain) > 6 else (whole,), alike
+
+
 def terms(line: str) -> tuple[list[int], list[str]]:
     """Hashed terms of a line, and those that are written alike in any language (numbers, Latin names)."""
     ids, alike = [], []
     for word in WORD.findall(line):
-        plain = word.casefold().strip("'’-")
-        if not plain:
-            continue
-        if plain[0].isdigit():
-            plain = "".join(str(unicodedata.digit(c, c)) for c in plain)
-            alike.append(plain)
-        elif word[0].isupper():
-            alike.append("".join(c for c in unicodedata.normalize("NFD", plain) if not unicodedata.combining(c)))
-        ids.append(zlib.crc32(plain.encode()) % TERMS)
-        if len(plain) > 6:
-            ids.append(zlib.crc32(("^" + plain[:5]).encode()) % TERMS)
+        own, same = _word(word)
+        ids += own
+        if same is not None:
+            alike.append(same)
     return ids, alike
 
 
@@ -91,19 +103,23 @@ class Model:
     rows: tuple[np.ndarray, np.ndarray] | None = None
     vectors: tuple[np.ndarray, np.ndarray] | None = None
 
-    def base(self, text: str, target: str) -> int | None:
-        pair = self.pairs.get(language(text) * len(LANGUAGES) + language(target))
-        return None if pair is None else pair * TERMS
-
-
-    def bag(self, ids: list[int], side: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and weights of the known terms among ``ids``."""
-        unique, counts = np.unique(np.array(ids, np.int64), return_counts=True)
-        known = self.weights[side][unique] > 0
-        unique = unique[known]
-        values = (1 + np.log(counts[known])) * self.weights[side][unique]
-        norm = np.sqrt((values**2).sum())
-        return self.rows[side][unique], (values / norm if norm else values).astype(np.float32)
+    def base(self, pair: int) -> int | None:
+        """Where the terms of a pair of languages begin, None if the model does not hold it."""
+        at = self.pairs.get(pair)
+        return None if at is None else at * TERMS
+
+    def bags(self, lines: list[list[int]], side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, row, weight) of the known terms of all lines, each line's weights with norm 1."""
+        size = len(self.weights[side])
+        of = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+        ids = np.fromiter((i for x in lines for i in x), np.int64, len(of))
+        unique, counts = np.unique(of * size + ids, return_counts=True)
+        of, ids = np.divmod(unique, size)
+        known = self.weights[side][ids] > 0
+        of, ids, counts = of[known], ids[known], counts[known]
+        values = (1 + np.log(counts)) * self.weights[side][ids]
+        norms = np.sqrt(np.bincount(of, values**2, len(lines)))
+        return of, self.rows[side][ids], (values / norms[of]).astype(np.float32)
 
 
 #: What is added up comes as columns of a batch: for each side the offsets of its bags, and their entries.
@@ -193,14 +209,14 @@ def fit(bags: DataFrame, pairs: dict[int, int], dimensions: int = DIMENSIONS, ro
     cuts = [np.searchsorted(at, np.arange(len(pairs) + 1) * TERMS) for at in known]
     size = max(len(at) for at in known)
     shared_model = context.broadcast(model)
-    kinds = pa.list_(pa.int32()), pa.list_(pa.float32())
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = []
             for side, name in enumerate(("source", "target")):
-                found = [shared_model.value.bag(ids, side) for ids in b.column(name).to_pylist()]
-                columns += [pa.array([rows for rows, _ in found], kinds[0]), pa.array([values for _, values in found], kinds[1])]
+                of, rows, values = shared_model.value.bags(b.column(name).to_pylist(), side)
+                ends = pa.array(np.searchsorted(of, np.arange(len(b) + 1)), pa.int32())
+                columns += [pa.ListArray.from_arrays(ends, pa.array(rows, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(values, pa.float32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["r0", "v0", "r1", "v1"])
 
     weighed = checkpoint(bags.mapInArrow(weigh, "r0 array<int>, v0 array<float>, r1 array<int>, v1 array<float>"))
@@ -254,22 +270,45 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norms > 1e-9, norms, 1)
 
 
-def _side(lines: list[str], model: Model, side: int, base: int) -> tuple[np.ndarray, list[int], list[set[str]], np.ndarray]:
-    """Vectors of the windows (single lines, then merged neighbours), line numbers, alike terms, places."""
-    numbers = [k for k, line in enumerate(lines, 1) if line.strip()]
-    vectors, alike = [], []
-    for k in numbers:
-        ids, same = terms(lines[k - 1])
-        rows, values = model.bag([base + i for i in ids], side)
-        vectors.append(values @ model.vectors[side][rows].astype(np.float32))
-        alike.append(set(same))
-    single = np.array(vectors, np.float32).reshape(len(numbers), model.vectors[side].shape[1])
-    # a merged window holds the terms of both lines
-    merged = single[:-1] + single[1:]
-    alike += [a | b for a, b in zip(alike[:-1], alike[1:], strict=True)] if len(numbers) > 1 else []
-    n = max(1, len(numbers))
-    places = np.array([*(np.arange(len(numbers)) + 0.5), *(np.arange(len(merged)) + 1.0)]) / n
-    return _unit(np.vstack([single, merged]) if len(numbers) else single), numbers, alike, places
+@dataclass
+class _Side:
+    """Windows of a text: unit vectors, first line and number of lines of each, alike terms of each line, places."""
+
+    vectors: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    numbers: list[int]
+    alike: list[set[str]]
+
+    @classmethod
+    def of(cls, lines: list[str], model: Model, side: int, base: int) -> _Side:
+        numbers = [k for k, line in enumerate(lines, 1) if line.strip()]
+        found = [terms(lines[k - 1]) for k in numbers]
+        at, rows, values = model.bags([[base + i for i in ids] for ids, _ in found], side)
+        single = np.zeros((len(numbers), model.vectors[side].shape[1]), np.float32)
+        _added(single, at, model.vectors[side][rows].astype(np.float32) * values[:, None])
+        # a merged window holds the terms of all its lines
+        sums = np.vstack([np.zeros_like(single[:1]), np.cumsum(single, axis=0)])
+        n = len(numbers)
+        sizes = range(1, min(MERGED, n) + 1)
+        vectors = [sums[k:] - sums[: n + 1 - k] for k in sizes]
+        first = np.concatenate([np.arange(n + 1 - k) for k in sizes]) if n else np.zeros(0, int)
+        size = np.repeat(list(sizes), [n + 1 - k for k in sizes]) if n else np.zeros(0, int)
+        return cls(_unit(np.vstack(vectors)) if n else single, first, size, numbers, [set(same) for _, same in found])
+
+    def holds(self, common: list[str]) -> np.ndarray:
+        """Which of the ``common`` terms each window holds."""
+        own = np.array([[c in a for c in common] for a in self.alike], np.float32)
+        sums = np.vstack([np.zeros_like(own[:1]), np.cumsum(own, axis=0)])
+        return (sums[self.first + self.size] - sums[self.first] > 0).astype(np.float32)
+
+    @property
+    def places(self) -> np.ndarray:
+        return (self.first + self.size / 2) / len(self.numbers)
+
+    def lines(self, window: int) -> list[int]:
+        low = self.first[window]
+        return self.numbers[low : low + self.size[window]]
 
 
 def _mean_top(scores: np.ndarray, k: int) -> np.ndarray:
@@ -277,55 +316,55 @@ def _mean_top(scores: np.ndarray, k: int) -> np.ndarray:
     return np.partition(scores, -k, axis=1)[:, -k:].mean(axis=1) if k else np.zeros(len(scores))
 
 
-def match(text: str, target: str, model: Model) -> list[tuple[list[int], list[int], float]]:
+def _best_part(scores: np.ndarray, side: _Side) -> np.ndarray:
+    """For every window of a side (rows) the best score of its lines alone and of its smaller windows."""
+    n, out = len(side.numbers), np.full_like(scores, -np.inf)
+    best, low = scores[:n], n
+    for k in range(2, min(MERGED, n) + 1):
+        high = low + n + 1 - k
+        out[low:high] = np.maximum(best[:-1], best[1:])
+        best, low = np.maximum(out[low:high], scores[low:high]), high
+    return out
+
+
+def match(text: str, target: str, pair: int, model: Model) -> list[tuple[list[int], list[int], float]]:
     """Pairs of windows (source lines, target lines, margin) that are each other's best partners."""
-    base = model.base(text, target)
+    base = model.base(pair)
     if base is None:
         return []
-    s_vectors, s_lines, s_alike, s_places = _side(text.split("\n"), model, 0, base)
-    t_vectors, t_lines, t_alike, t_places = _side(target.split("\n"), model, 1, base)
-    n, m = len(s_lines), len(t_lines)
-    if not n or not m or not s_vectors.shape[1]:
+    s, t = _Side.of(text.split("\n"), model, 0, base), _Side.of(target.split("\n"), model, 1, base)
+    n, m = len(s.numbers), len(t.numbers)
+    if not n or not m or not s.vectors.shape[1]:
         return []
-    scores = s_vectors @ t_vectors.T
-    common = {x for a in s_alike[:n] for x in a} & {x for a in t_alike[:m] for x in a}
+    scores = s.vectors @ t.vectors.T
+    common = sorted(set().union(*s.alike) & set().union(*t.alike))
     if common:
-        for i, a in enumerate(s_alike):
-            if mine := a & common:
-                for j, b in enumerate(t_alike):
-                    theirs = b & common
-                    if theirs:
-                        scores[i, j] += EQUAL * (len(mine & theirs) / max(len(mine | theirs), 1))
-    near = 1 - np.minimum(1, np.abs(s_places[:, None] - t_places[None, :]) * 4)
-    scores = scores + PLACE * near
+        a, b = s.holds(common), t.holds(common)
+        both = a @ b.T
+        scores += EQUAL * both / np.maximum(a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :] - both, 1)
+    scores += PLACE * (1 - np.minimum(1, np.abs(s.places[:, None] - t.places[None, :]) * 4))
     # windows' usual best scores, taken among single lines
-    s_mean, t_mean = _mean_top(scores[:, :m], NEIGHBOURS + 1), _mean_top(scores[:n].T, NEIGHBOURS + 1)
-    margins = scores - (s_mean[:, None] + t_mean[None, :]) / 2
-    margins[n:, m:] = -np.inf
-    # a merged window must beat both of its lines
-    for i in range(n - 1):
-        worse = np.maximum(scores[i, :m], scores[i + 1, :m]) + MERGE_GAIN > scores[n + i, :m]
-        margins[n + i, :m][worse] = -np.inf
-    for j in range(m - 1):
-        worse = np.maximum(scores[:n, j], scores[:n, j + 1]) + MERGE_GAIN > scores[:n, m + j]
-        margins[:n, m + j][worse] = -np.inf
-    ranked = np.where(np.isfinite(margins), scores + margins, -np.inf)
-    used_s, used_t, found = set(), set(), []
-    order = np.argsort(-ranked, axis=None, kind="stable")
-    for at in order:
-        i, j = divmod(int(at), ranked.shape[1])
-        if not np.isfinite(ranked[i, j]):
-            break
-        if margins[i, j] < LEAST_MARGIN:
-            continue
-        own = [i] if i < n else [i - n, i - n + 1]
-        other = [j] if j < m else [j - m, j - m + 1]
-        if used_s & set(own) or used_t & set(other):
-            continue
-        used_s |= set(own)
-        used_t |= set(other)
-        found.append(([s_lines[k] for k in own], [t_lines[k] for k in other], float(margins[i, j])))
-    return found
+    margins = scores - (_mean_top(scores[:, :m], NEIGHBOURS + 1)[:, None] + _mean_top(scores[:n].T, NEIGHBOURS + 1)[None, :]) / 2
+    # a merged window must beat its parts; lines merged on both sides must have no partners of their own
+    merged = s.size[:, None] + t.size[None, :] - 2
+    worse = np.maximum(_best_part(scores, s), _best_part(scores.T, t).T) + MERGE_GAIN * merged > scores
+    apart = np.maximum(_best_part(margins, s), _best_part(margins.T, t).T) >= LEAST_MARGIN
+    worse |= apart & (s.size[:, None] > 1) & (t.size[None, :] > 1)
+    ranked = np.where(worse | (margins < LEAST_MARGIN), -np.inf, scores + margins)
+    found = []
+    while True:
+        i, j = np.arange(len(ranked)), ranked.argmax(axis=1)
+        mutual = (ranked[i, j] > -np.inf) & (ranked.argmax(axis=0)[j] == i)
+        i, j = i[mutual], j[mutual]
+        if not len(i):
+            return found
+        for k in np.argsort(-ranked[i, j], kind="stable"):
+            x, y = i[k], j[k]
+            if ranked[x, y] == -np.inf:  # a line of it was taken in this round
+                continue
+            found.append((s.lines(x), t.lines(y), float(margins[x, y])))
+            ranked[(s.first < s.first[x] + s.size[x]) & (s.first[x] < s.first + s.size)] = -np.inf
+            ranked[:, (t.first < t.first[y] + t.size[y]) & (t.first[y] < t.first + t.size)] = -np.inf
 
 
 def _bags(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -333,38 +372,24 @@ def _bags(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
     kind = pa.list_(pa.int32())
     for b in batches:
         bags: tuple[list, list] = ([], [])
-        for text, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            base = model.base(text, target)
-            if base is None:
-                continue
+        for text, target, pair in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            base = model.base(pair)
             sides = [(text, target)]
             if model.vectors is not None:
                 lines, others = text.split("\n"), target.split("\n")
-                sides = [(" ".join(lines[k - 1] for k in own), " ".join(others[k - 1] for k in other)) for own, other, _ in match(text, target, model)]
-            for pair in sides:
-                for bag, words in zip(bags, pair, strict=True):
+                sides = [(" ".join(lines[k - 1] for k in own), " ".join(others[k - 1] for k in other)) for own, other, _ in match(text, target, pair, model)]
+            for pair_of in sides:
+                for bag, words in zip(bags, pair_of, strict=True):
                     bag.append([base + i for i in terms(words)[0]])
         yield pa.RecordBatch.from_arrays([pa.array(side, kind) for side in bags], names=["source", "target"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        codes = [language(s) * len(LANGUAGES) + language(t) for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32())], names=["pair"])
-
-
-def learn(passages: DataFrame, dimensions: int = DIMENSIONS, rounds: int = ROUNDS) -> Model:
-    """The model of all passages: first of passages, then of the lines that pair up by it."""
-    context = passages.sparkSession.sparkContext
-    texts = passages.select("text", "target")
-    seen = texts.mapInArrow(_pairs, "pair int").distinct().collect()  # at most the square of LANGUAGES
-    pairs = {row.pair: k for k, row in enumerate(sorted(seen))}
-    if not pairs:
-        return Model({})
-    model = Model(pairs)
+def learn(passages: DataFrame, pairs: dict[int, int], dimensions: int = DIMENSIONS, rounds: int = ROUNDS) -> Model:
+    """The model of all ``passages`` (text, target, pair): first of passages, then of the lines that pair up by it."""
+    context, model = passages.sparkSession.sparkContext, Model(pairs)
     for _ in range(2):
         shared = context.broadcast(model)
-        bags = checkpoint(texts.mapInArrow(lambda b: _bags(b, shared.value), "source array<int>, target array<int>"))  # noqa: B023
+        bags = checkpoint(passages.mapInArrow(lambda b: _bags(b, shared.value), "source array<int>, target array<int>"))  # noqa: B023
         shared.destroy()
         model = fit(bags, pairs, dimensions, rounds)
     return model
@@ -375,21 +400,38 @@ def aligned_lines(passages: DataFrame, key: str = "worksheet_id") -> DataFrame:
 
     ``passages`` has the key, text and target. Lines are split at ``\\n`` and
     numbered from 1; blank ones pair with nothing, nor do null or empty sides.
-    Repeated rows of a key count once.
+    Repeated rows of a key count once. Pairs of languages have models of their own,
+    ``PAIRS`` at a time, so neither a task nor the driver holds more than these.
     """
     kind = dict(passages.dtypes)[key]
     known = passages.where("text is not null and target is not null")
     once = known.groupBy(key).agg(F.max(F.struct("text", "target")).alias("p")).select(key, "p.*")
-    # matching takes more time than reading: spread even small tables over all cores
-    once = checkpoint(once.repartition(spread(passages)))
-    model = passages.sparkSession.sparkContext.broadcast(learn(once))
 
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = [language(s) * len(LANGUAGES) + language(t) for s, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.int32())], names=[key, "text", "target", "pair"])
+
+    # matching takes more time than reading: spread even small tables over all cores
+    once = checkpoint(once.repartition(spread(passages)).mapInArrow(told, f"{key} {kind}, text string, target string, pair int"))
+    seen = sorted(row.pair for row in once.select("pair").distinct().collect())  # at most the square of LANGUAGES
+    schema = f"{key} {kind}, text_line int, target_line int"
+    out = once.sparkSession.createDataFrame([], schema)
+    for low in range(0, len(seen), PAIRS):
+        held = {pair: k for k, pair in enumerate(seen[low : low + PAIRS])}
+        mine = once if len(held) == len(seen) else once.where(F.col("pair").isin(list(held)))
+        model = once.sparkSession.sparkContext.broadcast(learn(mine.select("text", "target", "pair"), held))
+        out = out.unionByName(mine.mapInArrow(_pairing(key, model), schema))
+    return out
+
+
+def _pairing(key: str, model: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for of, text, target in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                rows += [(of, i, j) for own, other, _ in match(text, target, model.value) for i in own for j in other]
+            for of, text, target, languages in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                rows += [(of, i, j) for own, other, _ in match(text, target, languages, model.value) for i in own for j in other]
             keys, own, other = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(own, pa.int32()), pa.array(other, pa.int32())], names=[key, "text_line", "target_line"])
 
-    return once.select(key, "text", "target").mapInArrow(pair, f"{key} {kind}, text_line int, target_line int")
+    return pair
