@@ -35,18 +35,19 @@ Filling = tuple[tuple[tuple[int, int], ...], int]
 
 def least_containers(histogram: dict[int, int], capacity: int) -> int:
     """No plan has fewer: by the sum of sizes, or by items too large to share a container, with what cannot stand beside them."""
-    sizes = sorted(histogram)
-    total = sum(s * n for s, n in histogram.items())
-    best = -(-total // capacity)
-    for low in sorted({0, *(s for s in sizes if s <= capacity // 2)}):
-        # items above capacity - low stand without any of at least low; those over the half stand alone
-        alone = sum(histogram[s] for s in sizes if s > capacity - low)
-        halves = [(s, histogram[s]) for s in sizes if capacity // 2 < s <= capacity - low]
-        count = sum(n for _, n in halves)
-        room = count * capacity - sum(s * n for s, n in halves)
-        small = sum(s * histogram[s] for s in sizes if low <= s <= capacity // 2)
-        best = max(best, alone + count + max(0, -(-(small - room) // capacity)))
-    return best
+    sizes = np.array(sorted(histogram), np.int64)
+    if not len(sizes):
+        return 0
+    counts = np.array([histogram[s] for s in sizes.tolist()], np.int64)
+    items, sums = (np.concatenate([[0], np.cumsum(x)]) for x in (counts, counts * sizes))
+    half = np.searchsorted(sizes, capacity // 2, "right")
+    # items above capacity - low share with none of at least low, those over the half with none of each other
+    low = np.concatenate([[0], sizes[:half]])
+    cut = np.maximum(np.searchsorted(sizes, capacity - low, "right"), half)
+    over_half = items[-1] - items[half]
+    room = (items[cut] - items[half]) * capacity - (sums[cut] - sums[half])
+    small = sums[half] - sums[np.searchsorted(sizes, low, "left")]
+    return int(max(-(-sums[-1] // capacity), (over_half + np.maximum(0, -(-(small - room) // capacity))).max()))
 
 
 class _Stock:
@@ -165,7 +166,12 @@ def _first_dive(histogram: dict[int, int], capacity: int) -> list[Filling]:
     """The filling with the least space left that a short search finds, used as often as the counts allow, until nothing is left."""
     stock, plan = _Stock(histogram), []
     while stock.sizes:
-        way, _ = min(_completions(capacity, stock, capacity, [2 * SHORT]), key=lambda x: x[1], default=(((stock.sizes[-1], 1),), 0))
+        way, least = ((stock.sizes[-1], 1),), capacity
+        for found, space in _completions(capacity, stock, capacity, [2 * SHORT]):
+            if space < least:
+                way, least = found, space
+            if not space:
+                break
         times = min(stock.counts[s] // n for s, n in way)
         for size, n in way:
             stock.add(size, -n * times)
