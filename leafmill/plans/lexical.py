@@ -31,7 +31,7 @@ def normalised_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 def fixed_targets(spark: SparkSession, folder: str) -> DataFrame:
     t = _targets(spark, folder).where(F.col("target").rlike("[؀-ۿ]"))
-    return t.select("block_key", persian.fa_fix(F.col("target")).alias("fixed")).join(t, "block_key").where("fixed <> target").select("block_key", "fixed")
+    return t.select("block_key", "target", persian.fa_fix(F.col("target")).alias("fixed")).where("fixed <> target").select("block_key", "fixed")
 
 
 def typography_lint(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,6 +39,16 @@ def typography_lint(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("block_key", F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
+def typography_suggestions(spark: SparkSession, folder: str) -> DataFrame:
+    t = _targets(spark, folder).select("block_key", persian.fa_suggestions(F.col("target")).alias("codes"))
+    return t.select("block_key", F.explode("codes").alias("code")).groupBy("block_key", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def normalised_targets(spark: SparkSession, folder: str) -> DataFrame:
+    t = _targets(spark, folder).where(F.col("target").rlike("[؀-ۿ]"))
+    return t.select("block_key", "target", persian.fa_normalize(F.col("target")).alias("normalised")).where("normalised <> target").select("block_key", "normalised")
+
+
 def rule_hits(spark: SparkSession, folder: str) -> DataFrame:
     d = documents(spark, folder).where(F.col("text").rlike("[؀-ۿ]")).select(persian.fa_rule_hits(F.col("text")).alias("hits"))
     return d.select(F.explode("hits").alias("rule", "n")).groupBy("rule").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_documents"))
@@ -80,7 +90,7 @@ def markdown_of_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "markup_signatures": markup_signatures, "document_notes": document_notes, "normalised_sources": normalised_sources, "fixed_targets": fixed_targets,
-    "typography_lint": typography_lint, "rule_hits": rule_hits, "text_pieces": text_pieces, "packed_units": packed_units, "script_runs": script_runs,
+    "typography_lint": typography_lint, "typography_suggestions": typography_suggestions, "normalised_targets": normalised_targets, "rule_hits": rule_hits, "text_pieces": text_pieces, "packed_units": packed_units, "script_runs": script_runs,
     "html_of_documents": html_of_documents, "markdown_of_documents": markdown_of_documents,
 }
 
