@@ -336,7 +336,7 @@ def _spaced(ts: list[Token], persian: bool, hits: _Hits) -> list[Token]:
             continue
         out.append(t)
     spaced: list[Token] = []
-    for t, after in zip(out, [*out[1:], None], strict=True):
+    for t, after in zip(out, [*out[1:], None], strict=False):
         spaced.append(t)
         opens = t.kind == MARK and (t.text in "،؛؟" or (t.text == "!" and persian))
         if opens and after is not None and not after.text[0].isspace() and after.text[0] not in "»)]،؛؟!.…":
