@@ -77,10 +77,14 @@ def duplicate_gate(blocks: DataFrame) -> DataFrame:
 
 def copied_run(source: Column, target: Column, run: int = RUN) -> Column:
     """The first run of the source that stands in the target and has a letter; null if none does."""
+    # a run that is copied holds a whole aligned piece of half its length, so few texts need all their runs
+    half = run // 2
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length(source) / half).cast("int") - 1), lambda i: F.substring(source, i * half + 1, F.lit(half)))
+    hopeful = F.exists(pieces, lambda x: F.contains(target, x))
     starts = F.sequence(F.lit(1), F.length(source) - run + 1)
     runs = F.transform(starts, lambda i: F.substring(source, i, F.lit(run)))
     found = F.filter(runs, lambda x: x.rlike(r"\p{L}") & F.contains(target, x))
-    return F.when((F.length(source) >= run) & (F.length(target) >= run), F.get(found, F.lit(0)))
+    return F.when((F.length(source) >= run) & (F.length(target) >= run), F.when(hopeful, F.get(found, F.lit(0))))
 
 
 def copied_gate(blocks: DataFrame) -> DataFrame:
@@ -89,26 +93,66 @@ def copied_gate(blocks: DataFrame) -> DataFrame:
     return finding(found.where("run is not null"), "warning", "copied-source-run", F.col("id"), F.col("run"))
 
 
-def parity_gate(blocks: DataFrame) -> DataFrame:
-    """Note markers and code spans that a translation lost or invented, and emphasis that differs in number."""
-    both = text_blocks(blocks).where(~is_blank(F.col("target")) & ~is_blank(F.col("text")))
+def _translated(blocks: DataFrame) -> DataFrame:
+    return text_blocks(blocks).where(~is_blank(F.col("target")) & ~is_blank(F.col("text")))
+
+
+def marker_gate(blocks: DataFrame) -> DataFrame:
+    """Note markers and code spans that a translation lost or invented."""
     marks = lambda c: F.array_sort(F.regexp_extract_all(F.regexp_replace(c, "`[^`]*`", ""), F.lit(r"\[\[fn:([A-Za-z0-9_-]+)\]\]"), 1))
     code = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit("`([^`]*)`"), 1))
-    b = both.withColumn("s", marks("text")).withColumn("t", marks("target"))
+    b = _translated(blocks).withColumn("s", marks("text")).withColumn("t", marks("target"))
     b = b.withColumn("sv", code("text")).withColumn("tv", code("target"))
     lost, made = F.array_except("s", "t"), F.array_except("t", "s")
-    # a text without marks has no emphasis; only the others are parsed
-    marked = b.where(F.col("text").rlike("[*`]") | F.col("target").rlike("[*`]"))
+    return all_findings(
+        finding(b.where(F.size(lost) > 0), "error", "footnote-marker-lost", F.col("id"), F.array_join(lost, ",")),
+        finding(b.where(F.size(made) > 0), "error", "footnote-marker-invented", F.col("id"), F.array_join(made, ",")),
+        finding(b.where(F.col("sv") != F.col("tv")), "error", "verbatim-content-changed", F.col("id"), F.array_join("sv", ",")),
+    )
+
+
+def emphasis_gate(blocks: DataFrame) -> DataFrame:
+    """Emphasis that differs in number between a text and its translation; only texts with marks are parsed."""
+    marked = _translated(blocks).where(F.col("text").rlike("[*`]") | F.col("target").rlike("[*`]"))
     styled = lambda x: F.struct((x["bold"] & ~x["verbatim"]).alias("bold"), (x["italic"] & ~x["verbatim"]).alias("italic"), x["verbatim"].alias("verbatim"))
     for side, column in (("se", "text"), ("te", "target")):
         counted = F.transform(F.filter("spans", lambda x: x["footnote"].isNull()), styled)
         marked = spans_of(marked, column).withColumn(side, emphasis_signature(counted)).drop("spans")
     shown = lambda e: F.concat(F.lit("("), F.concat_ws(", ", *[F.col(f"{e}.{k}") for k in ("bold", "italic", "verbatim")]), F.lit(")"))
+    return finding(marked.where("se <> te"), "warning", "emphasis-parity", F.col("id"), F.concat(shown("se"), F.lit(" -> "), shown("te")))
+
+
+def parity_gate(blocks: DataFrame) -> DataFrame:
+    """What a translation must keep: note markers, code spans, and the number of emphasised spans."""
+    return all_findings(emphasis_gate(blocks), marker_gate(blocks))
+
+
+def asset_gate(images: DataFrame, assets: DataFrame) -> DataFrame:
+    """Pictures (book_id, id, asset, sha256) that are not among the ``assets`` (path, sha256) or have changed; a null hash expects none."""
+    held = assets.groupBy(F.col("path").alias("asset")).agg(F.max("sha256").alias("now"), F.lit(True).alias("held"))
+    joined = images.join(held, "asset", "left")
+    modified = joined.where(F.col("held") & F.col("sha256").isNotNull() & ~F.col("sha256").eqNullSafe(F.col("now")))
     return all_findings(
-        finding(marked.where("se <> te"), "warning", "emphasis-parity", F.col("id"), F.concat(shown("se"), F.lit(" -> "), shown("te"))),
-        finding(b.where(F.size(lost) > 0), "error", "footnote-marker-lost", F.col("id"), F.array_join(lost, ",")),
-        finding(b.where(F.size(made) > 0), "error", "footnote-marker-invented", F.col("id"), F.array_join(made, ",")),
-        finding(b.where(F.col("sv") != F.col("tv")), "error", "verbatim-content-changed", F.col("id"), F.array_join("sv", ",")),
+        finding(joined.where("held is null"), "error", "asset-missing", F.col("id"), F.col("asset")),
+        finding(modified, "error", "asset-modified", F.col("id"), F.concat("asset", F.lit(" no longer matches its extraction hash"))),
+    )
+
+
+def geometry_gate(sources: DataFrame) -> DataFrame:
+    """What of a source's look was lost: emphasis that could not be read, pages of several sizes, rotated pages.
+
+    ``sources`` has book_id, recovered, reason, width, height, variants
+    (array of width, height, n, most pages first) and rotated (array of pages).
+    """
+    size = lambda w, h: F.concat(F.round(w).cast("int").cast("string"), F.lit("x"), F.round(h).cast("int").cast("string"), F.lit("pt"))
+    shapes = F.array_join(F.transform(F.slice("variants", 1, 4), lambda v: F.concat(size(v["width"], v["height"]), F.lit(" on "), v["n"].cast("string"), F.lit(" page(s)"))), ", ")
+    mixed = sources.where(F.size("variants") > 1)
+    built = F.concat(F.lit("several sizes: "), shapes, F.lit("; built at "), size(F.col("width"), F.col("height")))
+    turned = mixed.where(F.size("rotated") > 0)
+    return all_findings(
+        finding(sources.where(~F.coalesce("recovered", F.lit(True))), "warning", "emphasis-unrecoverable", F.lit("source"), F.coalesce("reason", F.lit("the source's emphasis could not be read"))),
+        finding(mixed, "warning", "page-geometry-mixed", F.lit("source"), built),
+        finding(turned, "warning", "page-rotated", F.lit("source"), F.array_join(F.slice("rotated", 1, 8), ",")),
     )
 
 

@@ -43,10 +43,13 @@ def entry_forms(entries: DataFrame) -> DataFrame:
 
 def form_places(texts: DataFrame, forms: DataFrame) -> DataFrame:
     """(book_id, unit, text, id, form): forms that stand alone in a text of their book."""
+    # only words travel; texts are fetched for the units that have a form's first word
+    kept = texts.where("text is not null")
     words = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}\p{M}_]+)"), 1)))
-    exploded = texts.where("text is not null").select("book_id", "unit", "text", words.alias("word"))
+    exploded = kept.select("book_id", "unit", words.alias("word"))
     keyed = forms.withColumn("word", first_word(F.col("form")))
-    return exploded.join(keyed, ["book_id", "word"]).where(stands_alone(F.col("text"), F.col("form"))).drop("word")
+    near = exploded.join(keyed, ["book_id", "word"]).drop("word").distinct()
+    return near.join(kept.select("book_id", "unit", "text"), ["book_id", "unit"]).where(stands_alone(F.col("text"), F.col("form"))).select("book_id", "unit", "text", *[c for c in forms.columns if c != "book_id"])
 
 
 def form_frequencies(texts: DataFrame, entries: DataFrame) -> DataFrame:
@@ -140,3 +143,60 @@ def owners_of_voices(cards: DataFrame, entries: DataFrame) -> DataFrame:
     on = (F.col("c.book_id") == F.col("e.book_id")) & ((F.col("c.name") == F.col("e.entry_id")) | (F.col("c.name") == F.col("e.entry_source")))
     joined = c.join(e, on, "left").withColumn("by_id", F.col("c.name") == F.col("e.entry_id"))
     return joined.groupBy("c.book_id", "c.card").agg(F.min_by("e.entry_id", F.struct(~F.coalesce("by_id", F.lit(False)), "e.entry_id")).alias("entry_id"), F.count("e.entry_id").alias("n_matches"))
+
+
+# Ordinary words that a capitalised run takes up at its ends.
+STOPWORDS = (
+    "a an and are as at be been but by for from had has have he her hers him his how "
+    "i if in is it its me my no nor not of on or our ours she so than that the their "
+    "theirs them then there these they this those to too us was we were what when "
+    "where which who whom why will with you your yours "
+    "after again against all also am among any because before being below between "
+    "both did do does doing down during each few further here into itself more most "
+    "other over same some such through under until up very while "
+    "mr mrs miss ms dr sir madam lord lady oh ah yes well now just only even still "
+    "chapter part book volume prologue epilogue contents preface introduction "
+    "january february march april may june july august september october november "
+    "december monday tuesday wednesday thursday friday saturday sunday"
+).split()
+
+
+def trimmed_name(name: Column) -> Column:
+    """A capitalised run without the ordinary words at its ends and without a possessive at its last word."""
+    ordinary = "|".join(sorted(STOPWORDS, key=lambda w: (-len(w), w)))
+    bare = F.regexp_replace(F.trim(F.regexp_replace(name, r"\s+", " ")), "['’]s$|(?<=s)['’]$", "")
+    ahead = F.regexp_replace(bare, rf"(?i)^(?:(?:{ordinary})(?: |$))+", "")
+    return F.trim(F.regexp_replace(ahead, rf"(?i)(?:(?:^| )(?:{ordinary}))+$", ""))
+
+
+def name_category(name: Column, contexts: Column) -> Column:
+    """place, person or unknown, by what stands before or behind a name in its contexts; the first that holds."""
+    said = F.lower(F.array_join(contexts, " "))
+    quoted_name = quoted(F.lower(name))
+    place = F.concat(F.lit(r"\b(?:in|at|to|from|near|towards?)\s+"), quoted_name, F.lit(r"\b"))
+    speaks = F.concat(quoted_name, F.lit(r"\s+(?:said|asked|replied|whispered|cried)"))
+    titled = F.concat(F.lit(r"\b(?:mr|mrs|miss|ms|dr|lord|lady|sir)\.?\s+"), quoted_name)
+    return F.when(F.rlike(said, place), "place").when(F.rlike(said, speaks) | F.rlike(said, titled), "person").otherwise("unknown")
+
+
+def persian_hits(texts: DataFrame, bank: DataFrame) -> DataFrame:
+    """(unit, en): terms of a bank (en, fa, note) whose first Persian alternative stands anywhere in a text.
+
+    The first three characters of an alternative (all of a shorter one) find
+    candidates by an equi-join with the places of a text; the whole is then checked.
+    """
+    shown = bank.select("en", F.trim(F.split("fa", "/")[0]).alias("form")).where("form <> ''")
+    keyed = shown.withColumn("start", F.left("form", F.lit(3)))
+    kept = texts.where("text <> ''")
+    starts = F.transform(F.sequence(F.lit(1), F.length("text")), lambda k: F.substring("text", k, F.lit(3)))
+    shorter = F.flatten(F.transform(starts, lambda x: F.array(x, F.left(x, F.lit(2)), F.left(x, F.lit(1)))))
+    places = kept.select("unit", F.explode(F.array_distinct(shorter)).alias("start"))
+    near = places.join(keyed, "start").select("unit", "en", "form").distinct()
+    return near.join(kept.select("unit", "text"), "unit").where(F.contains("text", F.col("form"))).select("unit", "en").distinct()
+
+
+def term_briefs(texts: DataFrame, bank: DataFrame) -> DataFrame:
+    """(unit, bank, en, fa, note): terms of several banks (bank, seq, en, fa, note) that stand in a text; of a term listed twice in a bank the first counts."""
+    first = bank.groupBy("bank", "en").agg(F.min(F.struct("seq", "fa", "note")).alias("f")).select("bank", "en", "f.fa", "f.note")
+    hits = term_hits(texts, first.select(F.col("en").alias("term")).distinct())
+    return hits.select("unit", F.col("term").alias("en")).distinct().join(first, "en").select("unit", "bank", "en", "fa", "note")

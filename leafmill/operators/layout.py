@@ -159,3 +159,32 @@ def confidence_of_pages(words: DataFrame) -> DataFrame:
     return words.groupBy("page_key", "line_no").agg(
         F.sum(n).alias("n_chars"), F.when(total > 0, F.sum(F.when(known, n * F.col("conf"))) / total).alias("confidence")
     )
+
+
+# Bits of a span's flags, words of a font's name, and fonts of recognised text, which carry no style.
+ITALIC_BIT, BOLD_BIT = 2, 16
+BOLD_NAMES, ITALIC_NAMES, RECOGNISED_FONTS = "bold|black|heavy", "italic|oblique", "glyphless|notoserif-regular|invisible"
+
+
+def span_style(flags: Column, font: Column, recognised: Column) -> Column:
+    """(bold, italic) of a span by its flags or its font's name; recognised text has neither."""
+    name, bits = F.lower(F.coalesce(font, F.lit(""))), F.coalesce(flags, F.lit(0))
+    plain = F.coalesce(recognised, F.lit(False)) | name.rlike(RECOGNISED_FONTS)
+    bold, italic = ((bits.bitwiseAND(bit) != 0) | name.rlike(names) for bit, names in ((BOLD_BIT, BOLD_NAMES), (ITALIC_BIT, ITALIC_NAMES)))
+    return F.struct((~plain & bold).alias("bold"), (~plain & italic).alias("italic"))
+
+
+def body_rect(width: Column, height: Column, inner: Column, top: Column, outer: Column, bottom: Column) -> Column:
+    """The body of a page within its margins; what is not given counts as 0."""
+    w, h, i, t, o, b = (F.coalesce(c.cast("double"), F.lit(0.0)) for c in (width, height, inner, top, outer, bottom))
+    return F.struct(i.alias("left"), t.alias("top"), (w - o).alias("right"), (h - b).alias("bottom"))
+
+
+def coloured_share(histogram: DataFrame, least: int = 16) -> DataFrame:
+    """(page_key, share, artwork): the share of a page's pixels with a saturation over ``least``; over 0.06 it is artwork.
+
+    ``histogram`` has page_key, saturation and n pixels.
+    """
+    sums = histogram.groupBy("page_key").agg(F.sum(F.when(F.col("saturation") > least, F.col("n")).otherwise(0)).alias("c"), F.sum("n").alias("n"))
+    share = F.when(F.col("n") > 0, F.try_divide("c", "n")).otherwise(0.0)
+    return sums.select("page_key", share.alias("share"), (share > 0.06).alias("artwork"))

@@ -115,7 +115,7 @@ ORACLE = {
     "stale_keys": SQL + " SELECT book_id AS stage, string_agg(DISTINCT id, ',' ORDER BY id) AS moved FROM B WHERE text IS DISTINCT FROM target GROUP BY 1",
     "review_verdicts": _V + " SELECT review_key, CASE WHEN detail IS NULL THEN 'not-reviewed' WHEN rubric = 'note-lost' THEN 'recovery' WHEN target IS NULL THEN 'unverified-digest' WHEN seen_at < TIMESTAMP '2025-01-01' THEN 'stale-review' WHEN state = 'rejected' THEN 'rejected' ELSE 'ok' END AS verdict FROM V",
     "events_once": _V + " SELECT review_key, rubric, state FROM V",
-    "merged_replies": SQL.rstrip() + f", V AS (SELECT DISTINCT book_id, {_ID.format('id')} AS id, target FROM reviews WHERE target IS NOT NULL AND {_ID.format('id')} BETWEEN 'b00001' AND 'b00020'), A AS (SELECT V.book_id, V.id, max(V.target) AS answer, count(DISTINCT V.target) AS n, bool_or(trim(V.target) = '') AS blank, bool_or(B.id IS NULL) AS f FROM V LEFT JOIN B ON V.book_id = B.book_id AND V.id = B.id GROUP BY 1, 2), Z AS (SELECT book_id, bool_or(n > 1 OR blank OR f) AS refused FROM A GROUP BY 1) SELECT B.book_id, B.id, CASE WHEN NOT coalesce(refused, true) AND answer IS NOT NULL THEN answer ELSE target END AS target, (NOT coalesce(refused, true) AND answer IS NOT NULL) AS merged FROM B LEFT JOIN A ON B.book_id = A.book_id AND B.id = A.id LEFT JOIN Z ON B.book_id = Z.book_id",
+    "merged_replies": SQL.rstrip() + f", X AS (SELECT book_id, id, target FROM B UNION ALL SELECT book_id, id, target FROM N), V AS (SELECT DISTINCT book_id, {_ID.format('id')} AS id, target FROM reviews WHERE target IS NOT NULL), A AS (SELECT V.book_id, V.id, max(V.target) AS answer, count(DISTINCT V.target) AS n, bool_or(trim(V.target) = '') AS blank, bool_or(X.id IS NULL) AS f FROM V LEFT JOIN X ON V.book_id = X.book_id AND V.id = X.id GROUP BY 1, 2), Z AS (SELECT book_id, bool_or(n > 1 OR blank OR f) AS refused FROM A GROUP BY 1) SELECT X.book_id, X.id, CASE WHEN NOT coalesce(refused, true) AND answer IS NOT NULL THEN answer ELSE target END AS target, (NOT coalesce(refused, true) AND answer IS NOT NULL) AS merged FROM X LEFT JOIN A ON X.book_id = A.book_id AND X.id = A.id LEFT JOIN Z ON X.book_id = Z.book_id",
     "superseded_replies": _ENT + " SELECT o.key AS id, CASE WHEN n.key IS NULL THEN 'gone' ELSE 'changed' END AS why FROM E o LEFT JOIN (SELECT * FROM E WHERE category <> 'person') n ON o.key = n.key WHERE o.first_form IS DISTINCT FROM CASE WHEN n.key IS NULL THEN NULL ELSE coalesce(n.later_form, n.first_form) END",
     "conflicting_edits": _V + f" SELECT concat_ws('/', book_id, {_ID.format('id')}) AS id, count(DISTINCT target) AS n_wordings FROM V GROUP BY 1 HAVING count(DISTINCT target) > 1",
     "components": f"WITH RECURSIVE {_EDGE}, Y AS (SELECT a, b FROM V UNION SELECT b, a FROM V), C AS (SELECT a AS node, a AS seen FROM Y UNION SELECT C.node, Y.b FROM C JOIN Y ON C.seen = Y.a) SELECT node, min(seen) AS component FROM C GROUP BY 1",
