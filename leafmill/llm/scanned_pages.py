@@ -143,7 +143,7 @@ def misread_words(lexicon_: DataFrame) -> DataFrame:
     return lexicon_.where(bad).select("lang", "word", fix.alias("fix"))
 
 
-def _divided_words(lines: DataFrame, lexicon_: DataFrame) -> DataFrame:
+def _divided_words(lines: DataFrame, lexicon_: DataFrame, size: int) -> DataFrame:
     """Words divided by a hyphen at a line end, with what is known of their joined and their hyphened form."""
     parts = lines.where("divided").select("page_key", "line_no", "next_key", "next_line", "lang", "mark", F.lower("part").alias("part"), F.lower("rest").alias("rest"))
     p = parts.withColumn("joined", F.concat("part", "rest")).withColumn("compound", F.concat("part", F.lit("-"), "rest"))
@@ -151,8 +151,8 @@ def _divided_words(lines: DataFrame, lexicon_: DataFrame) -> DataFrame:
     known = lexicon_.groupBy("lang", "class").agg(F.max("top_weight").alias("weight"), F.max("top").alias("top"))
     for name in ("j", "c"):
         k = known.select(F.col("lang").alias(f"lang_{name}"), F.col("class").alias(f"class_{name}"), F.col("weight").alias(f"weight_{name}"), F.col("top").alias(f"top_{name}"))
-        p = p.alias("p").join(k.alias("k"), F.col("p.lang").eqNullSafe(F.col(f"k.lang_{name}")) & (F.col(f"p.class_{name}") == F.col(f"k.class_{name}")), "left").select("p.*", f"k.weight_{name}", f"k.top_{name}")
-    exact = lexicon_.select(F.col("lang").alias("lang_x"), "word", "n", "listed").alias("x")
+        p = p.alias("p").join(small_or_shuffled(k, size).alias("k"), F.col("p.lang").eqNullSafe(F.col(f"k.lang_{name}")) & (F.col(f"p.class_{name}") == F.col(f"k.class_{name}")), "left").select("p.*", f"k.weight_{name}", f"k.top_{name}")
+    exact = small_or_shuffled(lexicon_.select(F.col("lang").alias("lang_x"), "word", "n", "listed"), size).alias("x")
     p = p.alias("p").join(exact, F.col("p.lang").eqNullSafe(F.col("x.lang_x")) & (F.col("p.joined") == F.col("x.word")), "left")
     return p.select("p.page_key", "p.line_no", "p.next_key", "p.next_line", "p.weight_j", "p.top_j", "p.weight_c", "x.n", F.coalesce("x.listed", F.lit(False)).alias("listed"))
 
@@ -167,26 +167,29 @@ def _neighbours(lines: DataFrame) -> DataFrame:
     zipped = F.transform(F.arrays_zip(firsts.alias("first"), seconds.alias("second")), lambda z: F.struct(z["first"].alias("first"), z["second"].alias("second")))
     over = F.when((at_end != "") & (after != ""), F.array(F.struct(at_end.alias("first"), after.alias("second")))).otherwise(F.array().cast("array<struct<first:string,second:string>>"))
     each = lines.select("page_key", "lang", F.explode(F.concat(zipped, over)).alias("z"))
-    return each.select("page_key", "lang", F.lower("z.first").alias("first"), F.lower("z.second").alias("second")).where("first is not null and second is not null").distinct()
+    return each.select("page_key", "lang", F.lower("z.first").alias("first"), F.lower("z.second").alias("second")).where("first is not null and second is not null")
 
 
-def _joinable(lines: DataFrame, lexicon_: DataFrame) -> DataFrame:
-    """(page_key, first, second, w, w1, w2): neighbours that are a known word together, with all counts."""
-    pairs = _neighbours(lines).withColumn("joined", F.concat("first", "second"))
-    found = pairs
+def _joinable(lines: DataFrame, lexicon_: DataFrame, size: int) -> DataFrame:
+    """(page_key, first, second, w, w1, w2): neighbours that are a known word together, with all counts.
+
+    The lexicon, of ``size`` words, is looked up for the joined word first, which few neighbours make.
+    """
+    found = _neighbours(lines).withColumn("joined", F.concat("first", "second"))
     for name, column in (("w", "joined"), ("w1", "first"), ("w2", "second")):
-        k = lexicon_.where("weight > 0").select(F.col("lang").alias("lang_k"), F.col("word").alias("word_k"), F.col("weight").alias(name)).alias("k")
+        k = small_or_shuffled(lexicon_.where("weight > 0").select(F.col("lang").alias("lang_k"), F.col("word").alias("word_k"), F.col("weight").alias(name)), size).alias("k")
         found = found.alias("p").join(k, F.col("p.lang").eqNullSafe(F.col("k.lang_k")) & (F.col(f"p.{column}") == F.col("k.word_k")), "inner" if name == "w" else "left").select("p.*", f"k.{name}")
-    return found.where(F.least(F.coalesce("w1", F.lit(0)), F.coalesce("w2", F.lit(0))) < F.col("w")).select("page_key", "first", "second", "w", "w1", "w2")
+    found = found.where(F.least(F.coalesce("w1", F.lit(0)), F.coalesce("w2", F.lit(0))) < F.col("w"))
+    return found.select("page_key", "first", "second", "w", "w1", "w2").distinct()
 
 
-def _split_words(lexicon_: DataFrame) -> DataFrame:
+def _split_words(lexicon_: DataFrame, size: int) -> DataFrame:
     """(lang, word, left, right, wl, wr): rare words that two more frequent ones make up, the likeliest two."""
     rare = lexicon_.where(~F.col("listed") & (F.length("word") > 3) & (F.col("n") > 0))
     cuts = rare.select("lang", "word", "n", F.explode(F.sequence(F.lit(2), F.length("word") - 2)).alias("at"))
     cuts = cuts.select("lang", "word", "n", F.substring("word", F.lit(1), F.col("at")).alias("left"), F.expr("substring(word, at + 1)").alias("right"))
     for side in ("left", "right"):
-        k = lexicon_.select(F.col("lang").alias("lang_k"), F.col("word").alias("word_k"), F.col("weight").alias(f"w_{side}")).alias("k")
+        k = small_or_shuffled(lexicon_.select(F.col("lang").alias("lang_k"), F.col("word").alias("word_k"), F.col("weight").alias(f"w_{side}")), size).alias("k")
         cuts = cuts.alias("c").join(k, F.col("c.lang").eqNullSafe(F.col("k.lang_k")) & (F.col(f"c.{side}") == F.col("k.word_k"))).select("c.*", f"k.w_{side}").where(F.col(f"w_{side}") > F.col("n"))
     best = cuts.groupBy("lang", "word").agg(F.max(F.struct((F.log("w_left") + F.log("w_right")).alias("score"), "left", "right", "w_left", "w_right")).alias("b"))
     return best.select("lang", "word", "b.left", "b.right", F.col("b.w_left").alias("wl"), F.col("b.w_right").alias("wr"))
@@ -375,18 +378,19 @@ def read_pages(pages: DataFrame, wordlist: DataFrame, lines: DataFrame) -> DataF
     body = checkpoint(_with_next(lines))
     words = checkpoint(_words(body))
     known = lexicon(words, wordlist)
+    size = known.count()
     bad = misread_words(known)
     same = lambda x, y: F.col(f"{x}.lang").eqNullSafe(F.col(f"{y}.lang")) & (F.col(f"{x}.word") == F.col(f"{y}.word"))
     b = bad.alias("b").join(known.alias("k"), same("b", "k")).select("b.lang", "b.word", F.col("k.n").alias("n"), "b.fix", F.when(F.col("b.fix") == F.col("k.top"), F.col("k.top_weight")).alias("times"), F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("right"), F.lit(None).cast("long").alias("wl"), F.lit(None).cast("long").alias("wr"), F.lit(True).alias("bad"))
-    split = _split_words(known).alias("s").join(known.alias("k"), same("s", "k")).select("s.lang", "s.word", F.col("k.n").alias("n"), F.lit(None).cast("string").alias("fix"), F.lit(None).cast("long").alias("times"), "s.left", "s.right", F.col("s.wl").cast("long").alias("wl"), F.col("s.wr").cast("long").alias("wr"), F.lit(False).alias("bad"))
+    split = _split_words(known, size).alias("s").join(known.alias("k"), same("s", "k")).select("s.lang", "s.word", F.col("k.n").alias("n"), F.lit(None).cast("string").alias("fix"), F.lit(None).cast("long").alias("times"), "s.left", "s.right", F.col("s.wl").cast("long").alias("wl"), F.col("s.wr").cast("long").alias("wr"), F.lit(False).alias("bad"))
     others = checkpoint(b.unionByName(split))
-    divided = checkpoint(_divided_words(body, known))
+    divided = checkpoint(_divided_words(body, known, size))
     # words of a page that may be others; the parts of divided words are words too
     parts = body.where("divided").select(F.explode(F.array(F.struct("page_key", F.lower("part").alias("word")), F.struct(F.col("page_key"), F.lower("rest").alias("word")))).alias("p"), "lang").select("p.*", "lang")
     own = words.select("page_key", "word", "lang").unionByName(parts).distinct()
     o = small_or_shuffled(others).alias("x")
     facts = own.alias("w").join(o, same("w", "x")).groupBy("w.page_key").agg(F.collect_list(F.struct("x.word", "x.n", "x.fix", "x.times", "x.left", "x.right", "x.wl", "x.wr", "x.bad")).alias("facts"))
-    joins = _joinable(body, known).groupBy("page_key").agg(F.collect_list(F.struct("first", "second", "w", "w1", "w2")).alias("joins"))
+    joins = _joinable(body, known, size).groupBy("page_key").agg(F.collect_list(F.struct("first", "second", "w", "w1", "w2")).alias("joins"))
     split_lines = divided.groupBy("page_key").agg(F.collect_list(F.struct("line_no", "weight_j", "weight_c", "n", "listed", "top_j")).alias("divided"))
     taken = divided.where("next_key != page_key").select(F.col("next_key").alias("page_key"), F.lit(True).alias("taken")).distinct()
     totals = {row["lang"]: float(row["n"]) for row in words.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
