@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from leafmill.functions.markup import by_text
+from leafmill.operators.ranges import cut_in_ranges
 
 # Ends of sentences without a space behind, what a cut may not divide, and characters that no cut may precede.
 CJK_ENDS = "。！？｡"
@@ -55,17 +56,13 @@ def packed_jobs(costs: list[int], budget: int) -> list[int]:
     return jobs
 
 
-PACK_SQL = """aggregate({costs}, named_struct('job', 0, 'size', 0, 'out', cast(array() as array<int>)),
-  (s, c) -> if(s.size > 0 and s.size + c > {budget},
-    named_struct('job', s.job + 1, 'size', c, 'out', array_append(s.out, s.job + 1)),
-    named_struct('job', s.job, 'size', s.size + c, 'out', array_append(s.out, s.job))), s -> s.out)"""
-
-
 def pack(units: DataFrame, by: str, order: str, cost: str, budget: int) -> DataFrame:
-    """(by, order, job_no): the same packing as a fold over the narrow costs of a group, inside the JVM."""
-    listed = units.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(cost).cast("int").alias("c")))).alias("rows"))
-    jobs = listed.withColumn("jobs", F.expr(PACK_SQL.format(costs="transform(rows, r -> r.c)", budget=budget)))
-    return jobs.select(by, F.explode(F.arrays_zip("rows", "jobs")).alias("z")).select(by, F.col("z.rows.k").alias(order), F.col("z.jobs").alias("job_no"))
+    """(by, order, job_no): the same packing folded over ranges of narrow rows, so that a group may be as large as the table."""
+    def rule(size: int, prose: bool, held: bool, cost_: int, opens: bool, own: bool) -> tuple[bool, bool]:
+        return size > 0 and size + cost_ > budget, False
+
+    narrow = units.select(F.col(by).alias("by"), F.col(order).alias("pos"), F.lit("").alias("id"), F.col(cost).alias("cost"), F.lit(False).alias("opens"), F.lit(False).alias("prose"))
+    return cut_in_ranges(narrow, rule).select(F.col("by").alias(by), F.col("pos").alias(order), (F.col("no") - 1).alias("job_no"))
 
 
 REPLY = ArrayType(StructType([StructField("unit", StringType()), StructField("kind", StringType()), StructField("text", StringType()), StructField("problem", StringType())]))

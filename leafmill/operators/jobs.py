@@ -6,41 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators.blocks import starts_chapter
+from leafmill.operators.digests import ordered_digests
+from leafmill.operators.ranges import cut_in_ranges
 
 # Default budget of a chunk in characters, its overshoot, the share below which a chapter start does not break, prose length.
 BUDGET, OVERSHOOT, FILLED, PROSE = 6000, 0.35, 0.25, 120
 #: Characters of neighbouring text that a job shows.
 CONTEXT = 450
-SEPARATOR = "\u001f"
 
 
 def chunks(blocks: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(book_id, pos, id, chunk_no): the greedy, chapter-aware cut of each book.
 
-    The rule depends on all blocks before, so it is a fold; it runs over narrow
-    rows (cost and two flags), a book's blocks at a time, inside the JVM. A null
+    The rule depends on all blocks before; it is folded over ranges of narrow rows
+    (cost and two flags), so that a book may be as large as the table. A null
     text costs nothing. The first chunk is number 1.
     """
-    cap = int(budget * (1 + OVERSHOOT))
+    cap, filled = int(budget * (1 + OVERSHOOT)), budget * FILLED
+
+    def rule(size: int, held_prose: bool, held: bool, cost: int, opens: bool, own: bool) -> tuple[bool, bool]:
+        early = opens and size < filled and not held_prose
+        return held and (opens or size + cost > cap) and not early, size + cost >= budget and not opens
+
     cost = F.coalesce(F.length("text"), F.lit(0))
     prose = F.col("type").isin("paragraph", "blockquote", "verse") & (cost > PROSE)
-    row = F.struct("pos", "id", cost.alias("cost"), F.coalesce(starts_chapter(F.col("type"), F.col("level")), F.lit(False)).alias("opens"), F.coalesce(prose, F.lit(False)).alias("prose"))
-    listed = blocks.groupBy("book_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    # no: chunk of the last block, size and prose of the open chunk, count of its blocks
-    state = F.expr("named_struct('no', 1, 'size', 0, 'prose', false, 'n', 0, 'out', cast(array() as array<int>))")
-    step = f"""
-      (s, r) -> transform(array(
-        named_struct('cut', s.n > 0 and (r.opens or s.size + r.cost > {cap}) and not (r.opens and s.size < {budget * FILLED} and not s.prose))
-      ), c -> transform(array(named_struct(
-          'no', if(c.cut, s.no + 1, s.no), 'size', if(c.cut, 0, s.size) + r.cost, 'prose', (not c.cut and s.prose) or r.prose, 'n', if(c.cut, 0, s.n) + 1)
-      ), a -> named_struct(
-          'no', if(a.size >= {budget} and not r.opens, a.no + 1, a.no), 'size', if(a.size >= {budget} and not r.opens, 0, a.size),
-          'prose', if(a.size >= {budget} and not r.opens, false, a.prose), 'n', if(a.size >= {budget} and not r.opens, 0, a.n),
-          'out', array_append(s.out, a.no)))[0])[0]
-    """
-    folded = listed.withColumn("state", state).withColumn("nos", F.expr(f"aggregate(rows, state, {step}, s -> s.out)"))
-    zipped = F.explode(F.arrays_zip("rows", "nos"))
-    return folded.select("book_id", zipped.alias("z")).select("book_id", "z.rows.pos", "z.rows.id", F.col("z.nos").alias("chunk_no"))
+    narrow = blocks.select(F.col("book_id").alias("by"), "pos", "id", cost.alias("cost"), starts_chapter(F.col("type"), F.col("level")).alias("opens"), prose.alias("prose"))
+    return cut_in_ranges(narrow, rule).select(F.col("by").alias("book_id"), "pos", "id", F.col("no").alias("chunk_no"))
 
 
 def neighbours(chunked: DataFrame, blocks: DataFrame, width: int = CONTEXT) -> DataFrame:
@@ -111,11 +102,8 @@ def next_jobs(jobs: DataFrame) -> DataFrame:
 
 
 def book_digests(blocks: DataFrame, columns: list[str], tag: str) -> DataFrame:
-    """A digest of each book: its units in order, fields and units kept apart by control characters.
+    """A digest of each book: its units in order of pos, hashed in ranges.
 
     Nulls and empty strings give different digests.
     """
-    shown = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
-    unit = F.struct("pos", F.concat_ws(SEPARATOR, *shown).alias("u"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(unit)), lambda x: x["u"]), "\u001e")
-    return blocks.groupBy("book_id").agg(F.concat(F.lit(f"{tag}:"), F.sha2(text, 256)).alias("digest"))
+    return ordered_digests(blocks.withColumn("part_", F.lit(0)), "book_id", "part_", "pos", columns, tag)

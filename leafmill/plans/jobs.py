@@ -107,5 +107,5 @@ ORACLE = {
     UNION SELECT DISTINCT 'd' || owner, 'whole and split' FROM L WHERE owner % 10 = 0 AND regexp_matches(text, '[A-Za-z]')""",
     "sheet_batches": SQL + " SELECT book_id, id, CAST((row_number() OVER (PARTITION BY book_id ORDER BY pos) - 1) // 20 AS INTEGER) AS sheet FROM B",
     "next_jobs": SQL + " SELECT book_id, min_by(id, pos) AS next_id FROM B WHERE text <> '' AND coalesce(target, '') = '' GROUP BY 1",
-    "book_digests": SQL + """ SELECT book_id, 'source1:' || sha256(string_agg(concat_ws(chr(31), coalesce('=' || id, '-'), coalesce('=' || type, '-'), coalesce('=' || text, '-')), chr(30) ORDER BY pos)) AS digest FROM B GROUP BY 1""",
+    "book_digests": SQL + """ SELECT book_id, 'source1:' || sha256(string_agg(d, chr(10) ORDER BY range_)) AS digest FROM (SELECT book_id, floor(pos / 1024) AS range_, sha256(string_agg(sha256(concat_ws(chr(31), coalesce('=' || id, '-'), coalesce('=' || type, '-'), coalesce('=' || text, '-'))), chr(10) ORDER BY pos, id)) AS d FROM B GROUP BY 1, 2) GROUP BY 1""",
 }
