@@ -6,7 +6,7 @@ within a book; nulls and empty strings stay apart unless a rule says otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Block types that carry text, and those that do not.
@@ -15,9 +15,27 @@ OTHER_TYPES = ["image", "pagebreak", "separator", "table", "layout"]
 NOTE = r"\[\[fn:([A-Za-z0-9_-]+)\]\]"
 
 
-def so_far() -> WindowSpec:
-    """The blocks of a book up to the current one."""
-    return Window.partitionBy("book_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+#: Places of a book's order that a carried value is looked up in together.
+RUN = 256
+
+
+def carried(blocks: DataFrame, value: Column, name: str, default: Column | None = None) -> DataFrame:
+    """``blocks`` with the last ``value`` of the book up to each block that is not null, else ``default``.
+
+    A book is cut into runs of places. Within a run a window looks back; what is in
+    force at its start comes from narrow rows, one a run, so no task sorts a whole
+    book of texts.
+    """
+    cut = blocks.withColumn("value_", value).withColumn("run_", F.floor(F.col("pos") / RUN))
+    runs = cut.groupBy("book_id", "run_").agg(F.max(F.when(F.col("value_").isNotNull(), F.struct("pos", "value_"))).alias("m"))
+    earlier = Window.partitionBy("book_id").orderBy("run_").rowsBetween(Window.unboundedPreceding, -1)
+    force = runs.select("book_id", "run_", F.last("m.value_", ignorenulls=True).over(earlier).alias("before_"))
+    within = Window.partitionBy("book_id", "run_").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.last("value_", ignorenulls=True).over(within)
+    c, f = cut.withColumn("own_", own).alias("c"), force.where("before_ is not null").alias("f")
+    joined = c.join(f, F.col("c.book_id").eqNullSafe(F.col("f.book_id")) & F.col("c.run_").eqNullSafe(F.col("f.run_")), "left")
+    found = F.coalesce("c.own_", "f.before_", *([] if default is None else [default]))
+    return joined.select(*[F.col(f"c.{x}") for x in blocks.columns], found.alias(name))
 
 
 def once(deliveries: DataFrame, key: str = "block_key") -> DataFrame:
@@ -108,20 +126,20 @@ def translatable_units(blocks: DataFrame, notes: DataFrame) -> DataFrame:
 def chapter_of_block(blocks: DataFrame) -> DataFrame:
     """Each block with the id of the chapter heading in force, ``front`` before the first."""
     opening = F.when(starts_chapter(F.col("type"), F.col("level")), F.col("id"))
-    return blocks.withColumn("chapter", F.coalesce(F.last(opening, ignorenulls=True).over(so_far()), F.lit("front")))
+    return carried(blocks, opening, "chapter", F.lit("front"))
 
 
 def page_of_block(blocks: DataFrame) -> DataFrame:
     """Each block with its page: a positive one of its own, else the last before it, else 1."""
     valid = F.when(F.col("page") > 0, F.col("page"))
-    return blocks.withColumn("on_page", F.coalesce(F.last(valid, ignorenulls=True).over(so_far()), F.lit(1)))
+    return carried(blocks, valid, "on_page", F.lit(1))
 
 
 def sections_in_force(blocks: DataFrame, sections: DataFrame) -> DataFrame:
     """Blocks with the section that covers them; ``sections`` has book_id, section_no, start_block."""
     starts = sections.select("book_id", "section_no", F.col("start_block").alias("id"))
     marked = blocks.join(starts, ["book_id", "id"], "left")
-    return marked.withColumn("section", F.last("section_no", ignorenulls=True).over(so_far())).drop("section_no")
+    return carried(marked, F.col("section_no"), "section").drop("section_no")
 
 
 def note_pages(blocks: DataFrame, notes: DataFrame) -> DataFrame:

@@ -113,12 +113,11 @@ def best_overlaps(boxes: DataFrame, others: DataFrame, least: float = SPATIAL) -
     return best.select("book_id", "page", "key", F.col("m.k").alias("other_key"), F.col("m.share").alias("share"))
 
 
-def overlapping(boxes: DataFrame, least: float = OVERLAP) -> DataFrame:
-    """(book_id, page, key, other_key): neighbouring boxes of a page, in order, that overlap by more than ``least``."""
-    order = Window.partitionBy("book_id", "page").orderBy("pos")
-    box = F.struct("key", "x0", "y0", "x1", "y1")
-    both = boxes.select("book_id", "page", box.alias("a"), F.lead(box).over(order).alias("b")).where("b is not null")
-    return both.where(overlap_share("a", "b") > least).select("book_id", "page", F.col("a.key").alias("key"), F.col("b.key").alias("other_key"))
+def overlapping(texts: DataFrame, pictures: DataFrame, least: float = OVERLAP) -> DataFrame:
+    """(book_id, page, key, other_key): texts of a page that lie on a picture by more than ``least`` of the smaller of both."""
+    a, b = texts.alias("a"), pictures.alias("b")
+    pairs = a.join(b, (F.col("a.book_id") == F.col("b.book_id")) & (F.col("a.page") == F.col("b.page")))
+    return pairs.where(overlap_share("a", "b") > least).select("a.book_id", "a.page", F.col("a.key").alias("key"), F.col("b.key").alias("other_key"))
 
 
 def nearest_geometry(pages: DataFrame, declared: DataFrame) -> DataFrame:

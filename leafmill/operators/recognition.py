@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from leafmill.operators.gates import all_findings, finding
 from leafmill.operators.layout import grade
+from leafmill.session import checkpoint, small_or_shuffled
 
 #: Notes of a page's state and words of a note; agreement from which a recognised block is taken.
 NOTES, NOTE_WORDS, AGREEMENT = 8, 6, 0.6
@@ -176,7 +177,12 @@ def first_mention_gate(blocks: DataFrame, entries: DataFrame) -> DataFrame:
     """Findings for names (book_id, id, first_form, target) whose first form is missing, repeated, or behind the plain name."""
     formed = entries.where("first_form <> '' and target <> ''").select("book_id", F.col("id").alias("entry"), "first_form", F.col("target").alias("name"))
     texts = blocks.where("target <> ''").select("book_id", "pos", "id", F.col("target").alias("shown"))
-    used = texts.join(formed, "book_id").where(F.contains(F.col("shown"), F.col("name")))
+    # the first three characters of a name find the texts that may hold it
+    keyed = formed.withColumn("start", F.left("name", F.lit(3)))
+    grams = F.transform(F.sequence(F.lit(1), F.length("shown")), lambda k: F.substring("shown", k, F.lit(3)))
+    shorter = F.flatten(F.transform(grams, lambda x: F.array(x, F.left(x, F.lit(2)), F.left(x, F.lit(1)))))
+    near = texts.select("book_id", "pos", "id", F.explode(F.array_distinct(shorter)).alias("start")).join(small_or_shuffled(checkpoint(keyed)), ["book_id", "start"]).drop("start").distinct()
+    used = near.join(texts, ["book_id", "pos", "id"]).where(F.contains(F.col("shown"), F.col("name")))
     times = (F.length("shown") - F.length(F.replace("shown", F.col("first_form"), F.lit("")))) / F.length("first_form")
     per = used.groupBy("book_id", "entry").agg(F.sum(times).cast("int").alias("n"), F.min("pos").alias("first_pos"), F.min(F.when(times > 0, F.col("pos"))).alias("formed_pos"))
     code = F.when(F.col("n") == 0, "first-mention-missing").when(F.col("n") > 1, "first-mention-repeated").when(F.col("formed_pos") > F.col("first_pos"), "first-mention-misplaced")

@@ -69,8 +69,12 @@ def best_overlaps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def overlapping(spark: SparkSession, folder: str) -> DataFrame:
-    """Neighbouring boxes grown by 10 points."""
-    return op.overlapping(boxes(spark, folder).withColumns({"y0": F.col("y0") - 10, "y1": F.col("y1") + 10}))
+    """Text blocks grown by 10 points against the images and tables of their page."""
+    kinds = blocks(spark, folder).select(F.col("block_key").alias("key"), "type")
+    b = boxes(spark, folder).join(kinds, "key")
+    pictures = b.where(F.col("type").isin("image", "table"))
+    texts = b.where("type not in ('image', 'table')").withColumns({"y0": F.col("y0") - 10, "y1": F.col("y1") + 10})
+    return op.overlapping(texts, pictures)
 
 
 def nearest_geometry(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,7 +123,7 @@ ORACLE = {
     SELECT book_id, min(pos) AS pos, string_agg(trim(text), ' ' ORDER BY pos) AS text, count(*) AS n FROM I GROUP BY book_id, island""",
     "gaps_above": _X + ' SELECT key, y0 - lag(y1) OVER w AS gap, row_number() OVER w = 1 AS starts_page, min(x0) OVER p AS "left", max(x1) OVER p AS "right" FROM X WINDOW p AS (PARTITION BY book_id, page), w AS (PARTITION BY book_id, page ORDER BY y0, pos)',
     "best_overlaps": _X + f" SELECT book_id, page, key, other_key, share FROM (SELECT a.book_id, a.page, a.key, b.key AS other_key, share, row_number() OVER (PARTITION BY a.key ORDER BY share DESC, b.pos) AS place FROM (SELECT a, b, {_SHARE} AS share FROM X a JOIN (SELECT * REPLACE (y0 + 20 AS y0, y1 + 20 AS y1) FROM X) b ON a.book_id = b.book_id AND a.page = b.page) WHERE share >= 0.35) WHERE place = 1",
-    "overlapping": _X + f", Y AS (SELECT * REPLACE (y0 - 10 AS y0, y1 + 10 AS y1), row_number() OVER (PARTITION BY book_id, page ORDER BY pos) AS n FROM X) SELECT a.book_id, a.page, a.key, b.key AS other_key FROM Y a JOIN Y b ON a.book_id = b.book_id AND a.page = b.page AND b.n = a.n + 1 WHERE {_SHARE} > 0.15",
+    "overlapping": _X + f", Y AS (SELECT * REPLACE (y0 - 10 AS y0, y1 + 10 AS y1) FROM X WHERE type NOT IN ('image', 'table')), Z AS (SELECT * FROM X WHERE type IN ('image', 'table')) SELECT a.book_id, a.page, a.key, b.key AS other_key FROM Y a JOIN Z b ON a.book_id = b.book_id AND a.page = b.page WHERE {_SHARE} > 0.15",
     "nearest_geometry": _X + " SELECT book_id, page, arg_min(size_no, abs(width - w) + abs(height - h) + size_no * 1e-9) AS size_no FROM G, (VALUES (0, 360.0, 500.0), (1, 350.0, 560.0), (2, 350.0, 300.0)) d(size_no, w, h) GROUP BY 1, 2",
     "blank_bands": _X + ", A AS (SELECT book_id, page, coalesce(max(y1) OVER (PARTITION BY book_id, page ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 60.0) AS from_y, y0 AS to_y FROM X UNION ALL SELECT book_id, page, max(y1), 560.0 FROM X GROUP BY 1, 2 HAVING max(y1) < 548) SELECT * FROM A WHERE to_y - from_y > 0.35 * 500",
     "margin_boxes": _X + " SELECT key, y1 <= 86 OR y0 >= 494 AS furniture, x1 - x0 >= 24 AND y1 - y0 >= 24 AS illustration FROM X",
