@@ -13,10 +13,10 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.session import checkpoint
+from leafmill.session import checkpoint, small_or_shuffled
 
 #: (number of the open piece, its size, whether it holds prose, whether it holds a row).
 State = tuple[int, int, bool, bool]
@@ -154,3 +154,21 @@ def cut_in_ranges(rows: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([group] * len(held), pa.string()), pa.array([k[1] for k in keys], at), pa.array([k[2] for k in keys], pa.string()), pa.array(cut, pa.int32())], names=["by", "pos", "id", "no"])
 
     return joined.select("slice", "by", "pos", "id", "cost", "opens", "prose", "entries").mapInArrow(apply, f"by {kinds['by']}, pos {kinds['pos']}, id {kinds['id']}, no int")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with each row's place, from 1, in its group's order; a group of any size is numbered in ranges.
+
+    ``order`` should tell all rows of a group apart; rows that are equal in it are numbered in any order. Null groups are groups.
+    """
+    ordered = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    ordered = checkpoint(ordered.withColumn("slice_", F.spark_partition_id()))
+    counts = checkpoint(ordered.groupBy(*by, "slice_").agg(F.count(F.lit(1)).alias("n_")))
+    earlier = Window.partitionBy(*by).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, "slice_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("offset_"))
+    within = F.row_number().over(Window.partitionBy(*by, "slice_").orderBy(*order))
+    o, f = ordered.withColumn("within_", within).alias("o"), small_or_shuffled(offsets, counts.count()).alias("f")
+    on = F.col("o.slice_") == F.col("f.slice_")
+    for c in by:
+        on &= F.col(f"o.{c}").eqNullSafe(F.col(f"f.{c}"))
+    return o.join(f, on).select(*[F.col(f"o.{c}") for c in df.columns], (F.col("o.within_") + F.col("f.offset_")).alias(name))

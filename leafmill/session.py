@@ -30,12 +30,14 @@ def local_session(cpus: int = 4, **conf: str) -> SparkSession:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with files in the shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset, as in tests, a temporary folder of this machine is used.
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
+    in a local session, as in tests, a temporary folder is used; a cluster must name one.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="leafmill-checkpoint-"))
     return df.checkpoint()
 

@@ -56,3 +56,17 @@ def test_a_hot_book_is_cut_in_ranges(spark):
     for book, own in costs.items():
         assert [r.job_no for r in sorted((r for r in packed if r.book_id == book), key=lambda r: r.pos)] == segments.packed_jobs(own, 900)
     assert jobs.chunks(df.limit(0)).collect() == []
+
+
+def test_rows_are_numbered_in_ranges(spark):
+    rng = random.Random(3)
+    data = [(rng.choice(["hot", "hot", "hot", "b", None]), n, rng.randint(0, 9)) for n in range(2000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranges.numbered(spark.createDataFrame(data, "g string, n int, v int").repartition(6), ["g"], ["v", "n"], "place").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for g in {r[0] for r in data}:
+        want |= {r[1]: k for k, r in enumerate(sorted((r for r in data if r[0] == g), key=lambda r: (r[2], r[1])), 1)}
+    assert {r.n: r.place for r in got} == want and len(got) == len(data)
