@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from leafmill.session import checkpoint
+from leafmill.session import checkpoint, small_or_shuffled
 
 ZWNJ = "‌"
 
 # Letters of other scripts that look like a Latin letter.
 GREEK_LIKE = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνορϲͿ", "ABEZHIKMNOPTYXvopcJ", strict=True))
 CYRILLIC_LIKE = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухԁԛԝһ", "ABESIJKMHOPCTYXaesijopcyxdqwh", strict=True))
+ARMENIAN_LIKE = dict(zip("ՕՍԼՏօոսհցզյ", "OULSonuhgqj", strict=True))
+CHEROKEE_LIKE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZVSLCPKB", strict=True))
 # Arabic letters whose Persian form counts as the same.
 PERSIAN_FORM = {"ي": "ی", "ى": "ی", "ك": "ک", "ۀ": "هٔ", "ە": "ه"}
 # Decomposition tags that change nothing about what is read, and
@@ -59,7 +61,7 @@ def plain_form(c: str) -> str:
         return "\n"
     if category == "Nd" and unicodedata.name(c, "").startswith("ARABIC-INDIC DIGIT"):
         return chr(0x06F0 + unicodedata.digit(c))
-    for table in (PERSIAN_FORM, GREEK_LIKE, CYRILLIC_LIKE):
+    for table in (PERSIAN_FORM, GREEK_LIKE, CYRILLIC_LIKE, ARMENIAN_LIKE, CHEROKEE_LIKE):
         if c in table:
             return table[c]
     tag, _, codes = unicodedata.decomposition(c).rpartition("> ")
@@ -197,25 +199,42 @@ def consistent_form(df: DataFrame, key: str, text: str) -> DataFrame:
     return rebuilt(code_points(rows, key, text), key)
 
 
-def same_look_pairs(df: DataFrame, key: str, owner: str, text: str) -> DataFrame:
-    """(a, b), a < b: rows of one owner with different texts of one consistent form.
-
-    ``df`` holds one row per key. A pair has at least one text out of form, so
-    those rows alone are joined with all rows, on hashes of owner and form; the
-    texts are compared by two 64-bit hashes. Hot groups are left to the skew
-    handling of the join, which splits them. Null owners pair with nobody.
-    """
+def _formed(df: DataFrame, key: str, owner: str, text: str) -> DataFrame:
+    """(key, owner, r1, r2, f1, f2, out): hashes of every text and of its form, and whether they differ."""
     rows = df.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(owner).isNotNull()).select(key, owner, text)
     formed = consistent_form(rows, key, text).withColumnRenamed(key, "__key")
     hashes = lambda c, p: (F.xxhash64(c).alias(p + "1"), F.xxhash64(c, F.lit(1)).alias(p + "2"))
     changed = checkpoint(formed.select("__key", *hashes(F.col("form"), "f")))
     raw = rows.select(F.col(key).alias("key"), F.col(owner).alias("owner"), *hashes(F.col(text), "r"))
     all_rows = raw.join(changed, F.col("key") == F.col("__key"), "left")
-    all_rows = checkpoint(
+    return checkpoint(
         all_rows.select(
             "key", "owner", "r1", "r2", F.coalesce("f1", "r1").alias("f1"), F.coalesce("f2", "r2").alias("f2"), F.col("__key").isNotNull().alias("out")
         )
     )
+
+
+def same_look_classes(df: DataFrame, key: str, owner: str, text: str) -> DataFrame:
+    """(key, class_id, n_members): rows whose text another row of their owner has in other characters.
+
+    A class holds all rows of one owner and form, named by its least key; one row
+    per member, however large a class is.
+    """
+    rows = _formed(df, key, owner, text)
+    differ = (F.min("r1") != F.max("r1")) | (F.min("r2") != F.max("r2"))
+    classes = rows.groupBy("owner", "f1", "f2").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("n_members"), differ.alias("differ")).where("differ").drop("differ")
+    return rows.join(small_or_shuffled(checkpoint(classes)), ["owner", "f1", "f2"]).select("key", "class_id", "n_members")
+
+
+def same_look_pairs(df: DataFrame, key: str, owner: str, text: str) -> DataFrame:
+    """(a, b), a < b: rows of one owner with different texts of one consistent form.
+
+    ``df`` holds one row per key. A pair has at least one text out of form, so
+    those rows alone are joined with all rows, on hashes of owner and form; the
+    texts are compared by two 64-bit hashes. Hot groups are left to the skew
+    handling of the join, which splits them. Null owners pair with nobody.
+    """
+    all_rows = _formed(df, key, owner, text)
     a, b = all_rows.where("out").alias("a"), all_rows.alias("b")
     on = (F.col("a.owner") == F.col("b.owner")) & (F.col("a.f1") == F.col("b.f1")) & (F.col("a.f2") == F.col("b.f2"))
     differ = (F.col("a.key") != F.col("b.key")) & ((F.col("a.r1") != F.col("b.r1")) | (F.col("a.r2") != F.col("b.r2")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.look_alikes import consistent_form, same_look_pairs
+from leafmill.llm.look_alikes import consistent_form, same_look_classes, same_look_pairs
 from leafmill.session import read_table
 
 
@@ -26,5 +26,11 @@ def p1_targets(spark: SparkSession, folder: str) -> DataFrame:
     return consistent_form(latest_targets(spark, folder), "block_key", "target").withColumnRenamed("form", "target_form")
 
 
-QUERIES = {"p1_found": p1_found, "p1_targets": p1_targets}
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks whose target stands in their book in other characters too, one row each, with their class."""
+    classes = same_look_classes(latest_targets(spark, folder), "block_key", "book_id", "target")
+    return classes.withColumnRenamed("key", "block_key")
+
+
+QUERIES = {"p1_found": p1_found, "p1_targets": p1_targets, "p1_classes": p1_classes}
 ORACLE: dict[str, str] = {}

@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.ranges import numbered
 from leafmill.session import checkpoint
 
 #: Blocks of a source, output shards of a mix, and the seed of all draws.
@@ -104,6 +105,7 @@ def mixed(items: DataFrame, targets: DataFrame, blocks: int = BLOCKS, shards: in
     partial = (F.col("block") == F.col("last_block")) & (F.col("round_no") > F.col("rounds"))
     partial = F.coalesce(partial, F.lit(False))
     columns = ["mix_name", "source", "doc_id", "round_no", "shard", "tokens"]
+    # (the last block of a source is one of ``blocks``, narrow rows)
     order = Window.partitionBy("mix_name", "source").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     ending = drawn.where(partial).withColumn("passed", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
     # the last document is taken if that comes closer to the target than leaving it
@@ -114,9 +116,5 @@ def mixed(items: DataFrame, targets: DataFrame, blocks: int = BLOCKS, shards: in
 
 
 def shuffled_shards(draws: DataFrame) -> DataFrame:
-    """The draws with each shard in one partition's order, shuffled: position counts from 1 within a shard.
-
-    A mix has as many shards as asked for; ask for more when shards grow large.
-    """
-    order = Window.partitionBy("mix_name", "shard").orderBy("place", "doc_id", "round_no")
-    return draws.withColumn("position", F.row_number().over(order))
+    """The draws of each shard in shuffled order: position counts from 1 within a shard, numbered in ranges of any size."""
+    return numbered(draws, ["mix_name", "shard"], ["place", "doc_id", "round_no"], "position")
