@@ -56,7 +56,7 @@ def test_path_is_the_best_of_all():
         assert abs(total - least(0)) < 1e-9
 
 
-def test_results_come_from_the_path(spark, monkeypatch):
+def test_results_come_from_the_path(spark):
     body = "   The miller found the lantern near the river. The\nminer left. The lan-\ntern was found, and the squ are was large. The square is here, a square it is.\nThe 1antern near the river and one more lan-"
     texts = [(p, "b", p, f"{'tern was' if p > 1 else 'So it'} {'anna boris clara david emil fritz gustav hanna'.split()[p - 1]} lit.\n{body}", "en") for p in range(1, 9)]
     df = spark.createDataFrame(texts, "page_key long, book_id string, page int, text string, lang string")
@@ -66,8 +66,16 @@ def test_results_come_from_the_path(spark, monkeypatch):
     parts = scanned_pages.repaired_pages(df, words)
     text = " ".join(r.text for r in scanned_pages.whole_paragraphs(parts).orderBy("page", "paragraph_no").collect())
     assert "square was large" in text and "one more lantern was clara lit." in text and "lan-" not in text[:-20] and "1antern" not in text
+
+
+def test_without_the_decoder_nothing_is_found(monkeypatch):
+    facts = Facts(1e5, {"1antern": 1.0, "squ": 0.0, "are": 0.0, "square": 9.0}, {"1antern": ("lantern", 40.0)})
+    page = [(1, "The lan-"), (2, "tern and a 1antern in the squ are")], None, False, facts, {1: Division(40.0, 0.0, 40.0, True, "lantern")}
+    rows, _ = scanned_pages.read_page(*page)
+    assert [r[4:] for r in rows] == [(True, False), (False, True)] and [r[2] for r in rows] == ["The lan", "tern and a lantern in the square"]
     monkeypatch.setattr(scanned_pages, "decode", lambda words, *rest: [(k, 1, "keep", None) for k in range(len(words))])
-    assert scanned_pages.damaged_lines(df, words).where("defect <> 'furniture'").collect() == []
+    rows, _ = scanned_pages.read_page(*page)
+    assert [r[4:] for r in rows] == [(False, False), (False, False)]
 
 
 def test_breaks_are_the_best_division():
