@@ -191,7 +191,8 @@ def truncated(rows: DataFrame, key: str, owner: str, channel: str, source: str,
 def _copied(rows: DataFrame, latest: DataFrame, key: str, source: str, target: str) -> DataFrame:
     """(key) of the latest values that some delivery for the same source text continues.
 
-    Source texts are told by two hashes. Only values whose source stands in more
+    Break marks count on neither side, so a value is no copy of itself without its
+    mark. Source texts are told by two hashes. Only values whose source stands in more
     than one delivery with other wording move as texts; sources are compared as hashes.
     """
     text = F.col(source)
@@ -203,7 +204,7 @@ def _copied(rows: DataFrame, latest: DataFrame, key: str, source: str, target: s
     each = checkpoint(each.join(many, "of", "left_semi"))
     now = latest.select("key", F.col("wording"))
     probes = each.join(now, ["key", "wording"], "left_semi").select("key", "of", F.col("bare").alias("value")).distinct()
-    return longer_copies(each.select("of", F.rtrim("value").alias("value")), probes)
+    return longer_copies(each.select("of", F.rtrim("bare").alias("value")), probes)
 
 
 def channel_shares(cut: DataFrame, rows: DataFrame) -> DataFrame:

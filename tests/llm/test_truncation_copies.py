@@ -10,7 +10,7 @@ BLOCKS = "k long, book string, channel string, text string, target string, at lo
 def test_longer_copies_decide(spark, monkeypatch):
     full = "The keeper opened the door. He walked into the garden."
     rows = [(1, "b", "x", full, full, 1), (2, "b", "x", full, full[:27], 1), (3, "c", "x", "Other text. It goes on.", full[:27], 1)]
-    rows += [(4, "b", "y", "A line. And more.", "Eine Zeile. Und mehr.", 1), (4, "b", "y", "A line. And more.", "Eine Zeile.", 2), (5, "b", "y", None, "Eine", 1), (6, "b", "y", "A line. And more.", "  ", 1)]
+    rows += [(4, "b", "y", "A line. And more.", "Eine Zeile. Und mehr.", 1), (4, "b", "y", "A line. And more.", "Eine Zeile.", 2), (7, "b", "z", "Wait…", "Warte…", 1), (8, "b", "z", "Wait…", "Warte...", 1), (5, "b", "y", None, "Eine", 1), (6, "b", "y", "A line. And more.", "  ", 1)]
     df = spark.createDataFrame(rows, BLOCKS)
     cut = lambda: sorted(r.key for r in truncation.truncated(df, "k", "book", "channel", "text", "target", "at")[0].collect())
     assert cut() == [2, 4]
