@@ -89,12 +89,14 @@ def english_pattern(term: Column) -> Column:
 
 
 def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(unit, term): terms of a bank, a small table of settings, that a text holds."""
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9]+)"), 1)))
-    exploded = texts.where("text is not null").select("unit", "text", words.alias("word"))
-    exploded = exploded.select("unit", "text", F.substring("word", 1, 3).alias("start")).distinct()
-    keyed = terms.select("term", F.substring(F.regexp_extract(F.lower("term"), r"([a-z0-9]+)", 1), 1, 3).alias("start"), english_pattern(F.col("term")).alias("pattern"))
-    return exploded.join(F.broadcast(keyed), "start").where(F.rlike("text", F.col("pattern"))).select("unit", "term").distinct()
+    """(unit, term): terms of a bank, a small table of settings, that a text holds; one row for each text and term.
+
+    The bank is broadcast, so a text meets it in the task that reads it and is never shuffled.
+    """
+    starts = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9]{1,3})[a-z0-9]*"), 1))
+    exploded = texts.where("text is not null").select("unit", "text", F.explode(starts).alias("start"))
+    keyed = terms.select("term").distinct().select("term", F.substring(F.regexp_extract(F.lower("term"), r"([a-z0-9]+)", 1), 1, 3).alias("start"), english_pattern(F.col("term")).alias("pattern"))
+    return exploded.join(F.broadcast(keyed), "start").where(F.rlike("text", F.col("pattern"))).select("unit", "term")
 
 
 def drift(blocks: DataFrame, entries: DataFrame) -> DataFrame:
